@@ -1,9 +1,13 @@
 """Session helpers: a local session for tests and the shared folder for lineage cuts."""
 
+import shutil
 import tempfile
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
+_shipped: set[str] = set()
+
 
 def local_session(cores: str = "8", partitions: int = 8, **conf: str) -> SparkSession:
     """A single-JVM session with the settings that results depend on (UTC) and adaptive execution."""
@@ -37,5 +41,17 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def ship(spark: SparkSession) -> None:
+    """Send this package to the executors' Python workers, once for each application; Spark's file server hands it out."""
+    app = spark.sparkContext.applicationId
+    if app not in _shipped:
+        package = Path(__file__).resolve().parent
+        target = Path(tempfile.mkdtemp(prefix="sheafwork-src-"), package.name)
+        shutil.copytree(package, target / package.name, ignore=shutil.ignore_patterns("__pycache__"))
+        spark.sparkContext.addPyFile(shutil.make_archive(str(target), "zip", target))
+        _shipped.add(app)
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    ship(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
