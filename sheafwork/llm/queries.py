@@ -4,7 +4,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import table
-from . import bpe
+from . import bpe, lookalike
 
 
 def p7_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -12,5 +12,16 @@ def p7_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.encode_column(docs, "text").select("doc_id", "ids")
 
 
-QUERIES = {"p7_ids": p7_ids}
+def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    extractions = table(spark, sf_dir, "extractions")
+    pairs = lookalike.same_look_pairs(extractions.select("extraction_id", "plain_text"), "extraction_id", "plain_text")
+    glyphs = lookalike.same_look_entries(
+        extractions.select("extraction_id", "problematic_glyph_samples"), "extraction_id", "problematic_glyph_samples", table(spark, sf_dir, "skill_reference"), "skill_id", "canonical"
+    )
+    return pairs.select(F.lit("plain_text").alias("field"), "left_id", "right_id", F.lit(0).alias("pos")).unionByName(
+        glyphs.select(F.lit("glyph_sample").alias("field"), "left_id", "right_id", "pos")
+    )
+
+
+QUERIES = {"p3_found": p3_found, "p7_ids": p7_ids}
 ORACLES: dict[str, str] = {}
