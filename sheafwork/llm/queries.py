@@ -4,7 +4,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import table
-from . import bpe, lookalike
+from . import bpe, language, lookalike
 
 
 def p7_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -12,6 +12,22 @@ def p7_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.encode_column(docs, "text").select("doc_id", "ids")
 
 
+def p2_languages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Language and confidence of every text (para_no 0) and every prose paragraph of extractions and vacancies."""
+    texts = table(spark, sf_dir, "extractions").select("extraction_id", "plain_text", "declared_lang")
+    jobs = table(spark, sf_dir, "job_descriptions").select("job_id", "plain_text", "declared_lang").dropDuplicates(["job_id"])
+    found = language.train(language.sample_rows(texts, "extraction_id", "plain_text", "declared_lang"))
+    parts = [
+        language.languages(df, key, "plain_text", "declared_lang", found).select(F.lit(kind).alias("record_kind"), F.col("id").alias("record_id"), "para_no", "lang", "confidence", "agrees")
+        for kind, df, key in (("extraction", texts, "extraction_id"), ("job", jobs, "job_id"))
+    ]
+    return parts[0].unionByName(parts[1])
+
+
+def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return p2_languages(spark, sf_dir).where(~F.col("agrees")).select("record_kind", "record_id", "para_no", "lang")
+
+
 def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     extractions = table(spark, sf_dir, "extractions")
     pairs = lookalike.same_look_pairs(extractions.select("extraction_id", "plain_text"), "extraction_id", "plain_text")
@@ -23,5 +39,5 @@ def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-QUERIES = {"p3_found": p3_found, "p7_ids": p7_ids}
+QUERIES = {"p2_found": p2_found, "p2_languages": p2_languages, "p3_found": p3_found, "p7_ids": p7_ids}
 ORACLES: dict[str, str] = {}
