@@ -4,7 +4,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import table
-from . import bpe, language, lookalike
+from . import bpe, language, lookalike, quality
 
 
 def p7_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -39,5 +39,15 @@ def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-QUERIES = {"p2_found": p2_found, "p2_languages": p2_languages, "p3_found": p3_found, "p7_ids": p7_ids}
+def p9_statistics(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Statistics, class and calibrated probability of every document."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return quality.classify(docs, "doc_id", "text", quality.train(quality.sample_texts(docs, "doc_id", "text")))
+
+
+def p9_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return p9_statistics(spark, sf_dir).where("text_class != 'prose'").select("doc_id", "text_class")
+
+
+QUERIES = {"p2_found": p2_found, "p2_languages": p2_languages, "p3_found": p3_found, "p7_ids": p7_ids, "p9_found": p9_found, "p9_statistics": p9_statistics}
 ORACLES: dict[str, str] = {}
