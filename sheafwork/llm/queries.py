@@ -4,7 +4,17 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import table
-from . import bpe, language, lookalike, quality
+from . import bpe, canonical, language, lookalike, quality
+
+
+def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    skills = table(spark, sf_dir, "job_skills")
+    missing = table(spark, sf_dir, "candidates").select("candidate_id", F.posexplode("missing_required").alias("p", "value"))
+    cells = missing.select(F.lit("missing_required").alias("field"), F.col("candidate_id").alias("record_id"), (F.col("p") + 1).cast("int").alias("pos"), "value")
+    for field in ("raw_phrase", "canonical"):
+        cells = cells.unionByName(skills.select(F.lit(field).alias("field"), F.col("job_id").alias("record_id"), F.col("skill_no").cast("int").alias("pos"), F.col(field).alias("value")))
+    reference = table(spark, sf_dir, "skill_reference").select(F.col("skill_id").alias("id"), F.col("canonical").alias("name"), "aliases")
+    return canonical.map_field_values(cells, reference)
 
 
 def p7_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -49,5 +59,5 @@ def p9_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return p9_statistics(spark, sf_dir).where("text_class != 'prose'").select("doc_id", "text_class")
 
 
-QUERIES = {"p2_found": p2_found, "p2_languages": p2_languages, "p3_found": p3_found, "p7_ids": p7_ids, "p9_found": p9_found, "p9_statistics": p9_statistics}
+QUERIES = {"p2_found": p2_found, "p2_languages": p2_languages, "p3_found": p3_found, "p4_found": p4_found, "p7_ids": p7_ids, "p9_found": p9_found, "p9_statistics": p9_statistics}
 ORACLES: dict[str, str] = {}
