@@ -115,6 +115,11 @@ def classes(pairs: tuple[tuple[str, str], ...]) -> list[list[str]]:
     return [sorted(c) for c in found.values() if len(c) > 1]
 
 
+@cache
+def invisible() -> tuple[str, ...]:
+    return tuple(chr(c) for c in range(0xA0, 0xE0200) if not 0xD800 <= c <= 0xF8FF and is_invisible(chr(c)))
+
+
 def is_invisible(ch: str) -> bool:
     """Format characters and variation selectors; what they do to the look of a text is nothing."""
     code = ord(ch)
@@ -124,42 +129,63 @@ def is_invisible(ch: str) -> bool:
 def representatives(counts: dict[str, int]) -> dict[str, str]:
     """Rewrite table: each member of a class to the most frequent one; a string counts as its rarest letter.
 
-    Ties, and classes that never occur, go to the shortest and then smallest code points.
+    Ties, and classes that never occur, go to the plainest (unchanged by NFKD), shortest, smallest member.
     """
     table: dict[str, str] = {}
     often = lambda s: min(counts.get(c, 0) for c in s)
     for members in classes(relations()):
-        best = min(members, key=lambda s: (-often(s), len(s), s))
+        best = min(members, key=lambda s: (-often(s), s != unicodedata.normalize("NFKD", s), len(s), s))
         table |= {m: best for m in members if m != best}
     # Representatives of strings are themselves made of representatives.
     single = {k: v for k, v in table.items() if len(k) == 1}
     settle = lambda s: "".join(single.get(c, c) for c in s) if len(s) > 1 else s
     table = {k: settle(v) for k, v in table.items()}
-    table |= {chr(c): "" for c in range(sys.maxunicode + 1) if not 0xD800 <= c <= 0xDFFF and is_invisible(chr(c))}
+    table |= dict.fromkeys(invisible(), "")
     return table
 
 
 class Rewriter:
-    """Greedy leftmost-longest rewriting with an Aho-Corasick automaton over decomposed text."""
+    """Greedy leftmost-longest rewriting with an Aho-Corasick automaton over decomposed text.
+
+    Only runs of other than ASCII characters, and members with ASCII characters, need the automaton; their results are kept,
+    up to KEPT of them, as they repeat.
+    """
+
+    KEPT = 200_000
 
     def __init__(self, table: dict[str, str]):
         self.automaton = ahocorasick.Automaton()
         for member, best in table.items():
             self.automaton.add_word(member, (len(member), best))
         self.automaton.make_automaton()
-        self.touched = re.compile("[^\x00-\x7f]") if all(ord(m[0]) > 127 for m in table) else re.compile("")
+        mixed = sorted((m for m in table if any(c.isascii() for c in m)), key=lambda m: (-len(m), m))
+        self.plain_ascii = not any(m.isascii() for m in mixed)
+        self.run = re.compile("|".join([*map(re.escape, mixed), "[^\x00-\x7f]+"]))
+        self.kept: dict[str, str] = {}
 
-    def __call__(self, text: str) -> str:
-        if not self.touched.search(text):
-            return text
-        text = unicodedata.normalize("NFD", text)
+    def _rewrite(self, text: str) -> str:
         out, at = [], 0
         for end, (size, best) in self.automaton.iter_long(text):
             out.append(text[at : end - size + 1])
             out.append(best)
             at = end + 1
         out.append(text[at:])
-        return unicodedata.normalize("NFC", "".join(out))
+        return "".join(out)
+
+    def _run(self, match: re.Match) -> str:
+        run = match.group()
+        best = self.kept.get(run)
+        if best is None:
+            best = self._rewrite(run)
+            if len(self.kept) < self.KEPT:
+                self.kept[run] = best
+        return best
+
+    def __call__(self, text: str) -> str:
+        if self.plain_ascii and text.isascii():
+            return text
+        text = self.run.sub(self._run, unicodedata.normalize("NFD", text))
+        return unicodedata.normalize("NFC", text)
 
 
 def code_point_counts(df: DataFrame, text: str) -> dict[str, int]:
@@ -182,9 +208,11 @@ def code_point_counts(df: DataFrame, text: str) -> dict[str, int]:
 def canonical_column(df: DataFrame, text: str, out: str, counts: dict[str, int]) -> DataFrame:
     """df with the consistent form of a text column; null stays null, an empty text stays empty."""
 
+    best = representatives(counts)
+
     @F.pandas_udf("string")
     def rewrite(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        rewriter = Rewriter(representatives(counts))
+        rewriter = Rewriter(best)
         for texts in batches:
             yield texts.map(rewriter, na_action="ignore")
 
@@ -194,8 +222,10 @@ def canonical_column(df: DataFrame, text: str, out: str, counts: dict[str, int])
 def keyed(df: DataFrame, key: str, text: str, counts: dict[str, int]) -> DataFrame:
     """(key, look, raw): 128-bit digests of the consistent form and of the characters; null texts are left out."""
 
+    best = representatives(counts)
+
     def digests(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        rewriter = Rewriter(representatives(counts))
+        rewriter = Rewriter(best)
         digest = lambda s: hashlib.blake2b(s.encode("utf-8", "surrogatepass"), digest_size=16).digest()
         for batch in batches:
             texts = batch[text]
