@@ -42,6 +42,7 @@ _ODD = re.compile("[­̀-ͯ​-‏⁠-⁤﻿ﬀ-ﬆ！-～]")
 _FOREIGN = re.compile("[\u0370-\u04ff]")
 _LATIN, _OTHER = "A-Za-z\u00c0-\u024f", "\u0370-\u04ff"
 _MIXED = re.compile(f"[\\w\u0300-\u036f]*(?:[{_LATIN}][\u0300-\u036f]*[{_OTHER}]|[{_OTHER}][\u0300-\u036f]*[{_LATIN}])[\\w\u0300-\u036f]*")
+_MIX_EDGE = re.compile(f"[{_LATIN}][\u0300-\u036f]*[{_OTHER}]|[{_OTHER}][\u0300-\u036f]*[{_LATIN}]")
 _ALIKE = [(line[0], other) for line in LOOKALIKES.strip().splitlines() for other in line[2:].split() if line[0].isalpha()]
 _TO_LATIN = {ord(o): a for a, o in _ALIKE}
 _TO_CYRILLIC = {ord(a): o for a, o in reversed(_ALIKE) if "\u0400" <= o <= "\u04ff"}
@@ -72,13 +73,17 @@ def _one_script(match: re.Match) -> str:
     return word.translate(_TO_CYRILLIC if cyrillic > latin else _TO_LATIN)
 
 
+def one_script(text: str) -> str:
+    """Words that mix scripts in one script each; characters keep their places."""
+    return _MIXED.sub(_one_script, text) if _MIX_EDGE.search(text) else text
+
+
 def plain(text: str) -> str:
     """Text without what would break n-grams: invisible characters, other widths, decomposed accents, letters of another script in a word."""
     if _ODD.search(text):
-        text = _DROP.sub("", text)
-        text = unicodedata.normalize("NFKC", _MIXED.sub(_one_script, text))
+        text = unicodedata.normalize("NFKC", one_script(_DROP.sub("", text)))
     elif _FOREIGN.search(text):
-        text = _MIXED.sub(_one_script, text)
+        text = one_script(text)
     return _SPACES.sub(" ", text)
 
 

@@ -4,7 +4,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import table
-from . import bpe, canonical, language, lookalike, quality
+from . import bpe, canonical, language, lookalike, personal, quality
 
 
 def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -17,6 +17,34 @@ def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return canonical.map_field_values(cells, reference)
 
 
+P5_FIELDS = (("plain_text", "extractions", "extraction_id", False), ("candidate_name", "candidates", "candidate_id", True), ("email", "candidates", "candidate_id", True))
+
+
+def _p5(spark: SparkSession, sf_dir: str) -> tuple[personal.Finder, list[tuple[str, str, bool, DataFrame]]]:
+    fields, sample = [], []
+    for field, name, key, whole in P5_FIELDS:
+        df = table(spark, sf_dir, name).select(key, field)
+        if whole:  # re-delivered rows are equal
+            df = df.dropDuplicates([key])
+        few = df.where(F.length(field) > 0).orderBy(F.xxhash64(key), key).limit(personal.SAMPLE_ROWS).select(F.substring(field, 1, 4000).alias("v")).collect()
+        sample += [(r.v, whole) for r in few]
+        fields.append((field, key, whole, df))
+    return personal.train(sample), fields
+
+
+def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    finder, fields = _p5(spark, sf_dir)
+    parts = [personal.find(df, key, field, finder, whole).select(F.lit(field).alias("field"), F.col("id").alias("record_id"), "pii_type", "start_at") for field, key, whole, df in fields]
+    return parts[0].unionByName(parts[1]).unionByName(parts[2])
+
+
+def p5_redacted(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The texts with a typed placeholder for each occurrence."""
+    finder, fields = _p5(spark, sf_dir)
+    parts = [personal.redact_column(df, field, "redacted", finder, whole).select(F.lit(field).alias("field"), F.col(key).alias("record_id"), "redacted") for field, key, whole, df in fields]
+    return parts[0].unionByName(parts[1]).unionByName(parts[2])
+
+
 def p7_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     return bpe.encode_column(docs, "text").select("doc_id", "ids")
@@ -59,5 +87,5 @@ def p9_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return p9_statistics(spark, sf_dir).where("text_class != 'prose'").select("doc_id", "text_class")
 
 
-QUERIES = {"p2_found": p2_found, "p2_languages": p2_languages, "p3_found": p3_found, "p4_found": p4_found, "p7_ids": p7_ids, "p9_found": p9_found, "p9_statistics": p9_statistics}
+QUERIES = {"p2_found": p2_found, "p2_languages": p2_languages, "p3_found": p3_found, "p4_found": p4_found, "p5_found": p5_found, "p5_redacted": p5_redacted, "p7_ids": p7_ids, "p9_found": p9_found, "p9_statistics": p9_statistics}
 ORACLES: dict[str, str] = {}
