@@ -4,7 +4,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import table
-from . import bpe, canonical, language, lookalike, personal, quality
+from . import bpe, canonical, language, lookalike, names, personal, quality
 
 
 def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -45,6 +45,13 @@ def p5_redacted(spark: SparkSession, sf_dir: str) -> DataFrame:
     return parts[0].unionByName(parts[1]).unionByName(parts[2])
 
 
+def p6_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    people = table(spark, sf_dir, "candidates").select("batch_id", F.col("candidate_id").alias("id"), F.col("candidate_name").alias("value"))
+    firms = table(spark, sf_dir, "experience").select("batch_id", F.col("exp_id").alias("id"), F.col("company").alias("value"))
+    parts = [names.variant_links(rows, kind).select(F.lit(kind).alias("entity_kind"), "left_id", "right_id") for kind, rows in (("person", people), ("company", firms))]
+    return parts[0].unionByName(parts[1])
+
+
 def p7_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     return bpe.encode_column(docs, "text").select("doc_id", "ids")
@@ -87,5 +94,5 @@ def p9_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return p9_statistics(spark, sf_dir).where("text_class != 'prose'").select("doc_id", "text_class")
 
 
-QUERIES = {"p2_found": p2_found, "p2_languages": p2_languages, "p3_found": p3_found, "p4_found": p4_found, "p5_found": p5_found, "p5_redacted": p5_redacted, "p7_ids": p7_ids, "p9_found": p9_found, "p9_statistics": p9_statistics}
+QUERIES = {"p2_found": p2_found, "p2_languages": p2_languages, "p3_found": p3_found, "p4_found": p4_found, "p5_found": p5_found, "p5_redacted": p5_redacted, "p6_found": p6_found, "p7_ids": p7_ids, "p9_found": p9_found, "p9_statistics": p9_statistics}
 ORACLES: dict[str, str] = {}
