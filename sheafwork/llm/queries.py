@@ -4,7 +4,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import table
-from . import bpe, canonical, language, lookalike, names, personal, quality
+from . import bpe, canonical, language, lookalike, mixing, names, personal, quality
 
 
 def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -84,6 +84,19 @@ def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def p8_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The mixed set: a row for each use of a document, with its tokens by byte_bpe_50k, its shard and its place there."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "source", "text").where("source is not null")
+    targets = table(spark, sf_dir, "mix_targets")
+    listed = docs.join(targets.select(F.col("source_name").alias("source")), "source", "left_semi")
+    sized = bpe.encode_column(listed, "text").select("doc_id", "source", F.size("ids").alias("n_tokens"))
+    return mixing.mix(sized, targets, "doc_id", "source", "n_tokens")
+
+
+def p8_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.shares(p8_mix(spark, sf_dir), table(spark, sf_dir, "mix_targets"), "source", "n_tokens")
+
+
 def p9_statistics(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Statistics, class and calibrated probability of every document."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
@@ -94,5 +107,5 @@ def p9_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return p9_statistics(spark, sf_dir).where("text_class != 'prose'").select("doc_id", "text_class")
 
 
-QUERIES = {"p2_found": p2_found, "p2_languages": p2_languages, "p3_found": p3_found, "p4_found": p4_found, "p5_found": p5_found, "p5_redacted": p5_redacted, "p6_found": p6_found, "p7_ids": p7_ids, "p9_found": p9_found, "p9_statistics": p9_statistics}
+QUERIES = {"p2_found": p2_found, "p2_languages": p2_languages, "p3_found": p3_found, "p4_found": p4_found, "p5_found": p5_found, "p5_redacted": p5_redacted, "p6_found": p6_found, "p7_ids": p7_ids, "p8_mix": p8_mix, "p8_shares": p8_shares, "p9_found": p9_found, "p9_statistics": p9_statistics}
 ORACLES: dict[str, str] = {}
