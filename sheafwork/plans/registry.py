@@ -4,9 +4,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import problems
+from . import problems, text_queries
 
-MODULES = (problems,)
+MODULES = (problems, text_queries)
 
 
 def _merged(attribute: str) -> dict:
