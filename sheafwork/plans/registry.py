@@ -4,9 +4,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import problems, text_queries
+from . import document_queries, problems, text_queries
 
-MODULES = (problems, text_queries)
+MODULES = (problems, text_queries, document_queries)
 
 
 def _merged(attribute: str) -> dict:
