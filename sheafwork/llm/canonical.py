@@ -11,6 +11,8 @@ import itertools
 
 from pyspark.sql import DataFrame
 
+from ..session import cut
+
 # Phrases around a value that say nothing about which entry it means.
 LEADING = ("good knowledge of", "experience in", "experience with", "knowledge of", "solid", "strong", "basic", "proven")
 TRAILING = ("advanced", "certified", "or similar", "skills", "skill")
@@ -51,6 +53,7 @@ def map_values(values: DataFrame, reference: DataFrame) -> DataFrame:
     fewer edits, then the smaller id. Empty and blank values, and values of signs only, get 0; the empty table gives no row.
     """
     spark = values.sparkSession
+    # Each step is cut off, as it is read several times below.
     forms = spark.sql(
         f"""
         WITH names AS (SELECT id, explode(concat(array(name), coalesce(aliases, array()))) AS form FROM {{ref}}),
@@ -68,7 +71,9 @@ def map_values(values: DataFrame, reference: DataFrame) -> DataFrame:
         """,
         v=values,
     )
+    forms, distinct = cut(forms), cut(distinct)
     equal = spark.sql("SELECT v.value, v.key, v.cut, f.id FROM {v} v LEFT JOIN {f} f ON v.key = f.key", v=distinct, f=forms)
+    equal = cut(equal)
     open_keys = spark.sql("SELECT DISTINCT key, cut FROM {e} WHERE id IS NULL AND key != ''", e=equal)
     # A word cut short by a full stop: each word of a form cut to each length, compared by equality.
     cut_forms = spark.sql(
@@ -83,6 +88,7 @@ def map_values(values: DataFrame, reference: DataFrame) -> DataFrame:
         """,
         ref=reference,
     )
+    open_keys = cut(open_keys)
     shortened = spark.sql("SELECT o.key, min(p.id) AS id FROM {o} o JOIN {p} p ON o.key = p.key WHERE o.cut GROUP BY o.key", o=open_keys, p=cut_forms)
     segments = spark.sql(
         f"""
@@ -94,6 +100,7 @@ def map_values(values: DataFrame, reference: DataFrame) -> DataFrame:
         """,
         f=forms,
     )
+    segments = cut(segments)
     # With d = length of the value - L, an unchanged segment moves by at most (k - d) / 2 to the left and (k + d) / 2 to the right.
     candidates = spark.sql(
         """
@@ -130,6 +137,7 @@ def map_values(values: DataFrame, reference: DataFrame) -> DataFrame:
         s=shortened,
         n=near,
     )
+    fuzzy = cut(fuzzy)
     found = spark.sql(
         "SELECT value, id FROM {e} WHERE id IS NOT NULL UNION ALL SELECT e.value, f.id FROM {e} e JOIN {f} f ON e.key = f.key AND e.cut = f.cut WHERE e.id IS NULL AND f.id IS NOT NULL",
         e=equal,
@@ -149,5 +157,6 @@ def map_field_values(cells: DataFrame, reference: DataFrame) -> DataFrame:
     """
     spark = cells.sparkSession
     own = spark.sql("SELECT DISTINCT c.* FROM {c} c LEFT ANTI JOIN {r} r ON c.value = r.name WHERE c.value IS NOT NULL", c=cells, r=reference)
+    own = cut(own)
     mapped = map_values(own, reference)
     return spark.sql("SELECT o.field, o.record_id, o.pos, m.skill_id FROM {o} o JOIN {m} m ON o.value = m.value", o=own, m=mapped)
