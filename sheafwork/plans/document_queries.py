@@ -6,6 +6,9 @@ from pyspark.sql import functions as F
 from ..functions import dates as D
 from ..functions import text as T
 from ..operators import documents as O
+from ..operators import layout as L
+from ..operators import parsing as P
+from ..operators import rules as R
 from ..operators import screening as S
 from ..operators.intervals import merge_intervals
 from ..session import table
@@ -246,3 +249,52 @@ def skill_matches(spark, sf_dir):
 )
 def rate_limits(spark, sf_dir):
     return S.fixed_windows(table(spark, sf_dir, "events"), "user_id", "ts", "event_id", 2, 86_400)
+
+
+_CASES = f"CASE WHEN regexp_matches(line, '{P.RANGE}') AND NOT regexp_matches(line, '{BULLET}') AND len(regexp_extract_all(line, '{WORD}')) <= 18 THEN 1 ELSE 0 END"
+
+
+@query(
+    rf"""WITH l AS ({_LINES}), k AS (SELECT *, {_CASES} AS anchor, trim(line, ' ') = '' OR ({_KIND_SQL.replace(' h IN', " lower(trim(regexp_replace(line, '[:\s]+$', ''), ' ')) IN")}) IS NOT NULL AS ends FROM l),
+    j AS (SELECT *, sum(anchor) OVER w AS job_no, sum(CASE WHEN ends AND anchor = 0 THEN 1 ELSE 0 END) OVER w AS closed FROM k WINDOW w AS (PARTITION BY extraction_id ORDER BY line_no)),
+    a AS (SELECT extraction_id, job_no, closed AS upto FROM j WHERE anchor = 1)
+    SELECT j.extraction_id, CAST(j.job_no AS INTEGER) AS job_no, CAST(count(*) FILTER (WHERE anchor = 0 AND closed = upto) AS INTEGER) AS n_bullets FROM j JOIN a ON j.extraction_id = a.extraction_id AND j.job_no = a.job_no GROUP BY j.extraction_id, j.job_no"""
+)
+def experience_entries(spark, sf_dir):
+    entries = P.experience_entries(_extractions(spark, sf_dir), "extraction_id", "plain_text")
+    return entries.select("extraction_id", "job_no", F.size("bullets").alias("n_bullets"))
+
+
+@query(
+    rf"""WITH u AS (SELECT DISTINCT job_id, plain_text FROM job_descriptions WHERE plain_text IS NOT NULL), l AS (SELECT job_id, unnest(t) AS line, generate_subscripts(t, 1) AS line_no FROM (SELECT job_id, regexp_split_to_array(plain_text, '\r?\n') AS t FROM u)),
+    k AS (SELECT *, {_KIND_SQL} AS kind FROM (SELECT *, lower(trim(regexp_replace(line, '[:\s]+$', ''), ' ')) AS h FROM l)),
+    b AS (SELECT *, last_value(kind IGNORE NULLS) OVER (PARTITION BY job_id ORDER BY line_no ROWS UNBOUNDED PRECEDING) AS block FROM k)
+    SELECT job_id, block, CAST(row_number() OVER (PARTITION BY job_id ORDER BY line_no) AS INTEGER) AS item_no, trim(regexp_replace(line, '{BULLET}', ''), ' ') AS item FROM b
+    WHERE kind IS NULL AND block IN ('duties', 'requirements', 'optional') AND regexp_matches(line, '{BULLET}')"""
+)
+def vacancy_items(spark, sf_dir):
+    return P.vacancy_items(table(spark, sf_dir, "job_descriptions").select("job_id", "plain_text").distinct(), "job_id", "plain_text")
+
+
+def _outcomes(spark, sf_dir):
+    x = table(spark, sf_dir, "extractions").select("extraction_id", "plain_text", "has_text_layer", "has_problematic_glyphs")
+    return R.evaluate(R.facts(x, "extraction_id", "plain_text", WEAK, PHRASES), "extraction_id")
+
+
+@query()
+def rule_findings(spark, sf_dir):
+    return R.findings(_outcomes(spark, sf_dir), "extraction_id")
+
+
+@query()
+def document_scores(spark, sf_dir):
+    s = R.scores(_outcomes(spark, sf_dir), "extraction_id")
+    return s.withColumn("band", S.band(F.col("overall"))).drop("keywords", "narrative", "international")
+
+
+@query(
+    r"""SELECT extraction_id, array_to_string(list_filter(['ﬀ', 'ﬁ', 'ﬂ', 'ﬃ', 'ﬄ', 'ﬅ', 'ﬆ', chr(65533)], lambda g: contains(plain_text, g)) || CASE WHEN regexp_matches(plain_text, '[\x{E000}-\x{F8FF}]') THEN ['private-use-area'] ELSE [] END, '|') AS glyphs
+    FROM extractions WHERE plain_text IS NOT NULL"""
+)
+def problem_glyphs(spark, sf_dir):
+    return _extractions(spark, sf_dir).where("plain_text is not null").select("extraction_id", F.array_join(L.problem_glyphs(F.col("plain_text")), "|").alias("glyphs"))
