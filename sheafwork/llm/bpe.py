@@ -11,7 +11,7 @@ import base64
 import heapq
 import json
 import zlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -50,6 +50,11 @@ def literal(value: object, ddl: str) -> Column:
     return F.from_json(F.lit(json.dumps(value, ensure_ascii=False)), ddl)
 
 
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """body(value) with the value standing once in the expression: plans are printed, and large constants with them."""
+    return F.get(F.transform(F.array(value), lambda v: body(v)), 0)
+
+
 def bucketed_map(entries: dict[str, object], buckets: int, value_ddl: str) -> Column:
     """Map literal in buckets by CRC-32, since Spark searches a map from its start."""
     table: list[dict] = [{} for _ in range(buckets)]
@@ -143,18 +148,18 @@ def encode_column(df: DataFrame, text: str, out: str = "ids", path: str | None =
     counted = df.select(F.explode(cut(F.col(text))).alias("word")).groupBy("word").count()
     # A word seen once gains nothing from the map.
     hot = counted.where((F.octet_length("word") <= HOT_BYTES) & (F.col("count") > 1)).orderBy(F.desc("count"), "word").limit(hot_words)
-    known = {r.word: r.ids for r in hot.repartition(max(8, spark.sparkContext.defaultParallelism)).select("word", fold(F.col("word"), ranks).alias("ids")).collect()}
+    known = {r.word: r.ids for r in hot.repartition(max(8, spark.sparkContext.defaultParallelism)).select("word", let(ranks, lambda r: fold(F.col("word"), r)).alias("ids")).collect()}
     table = bucketed_map(known, WORD_BUCKETS, "array<int>")
     words, long = "__bpe_words", "__bpe_long"
     staged = df.withColumn(words, cut(F.col(text)))
     staged = staged.withColumn(long, F.filter(words, lambda w: F.octet_length(w) > FOLD_BYTES))
     staged = staged.withColumn(long + "_ids", _long_words_udf(path)(F.col(long)))
 
-    def ids(w: Column) -> Column:
+    def ids(w: Column, table: Column, ranks: Column) -> Column:
         in_long = F.get(F.col(long + "_ids"), F.array_position(F.col(long), w).cast("int") - 1)
         return F.coalesce(lookup(table, w, WORD_BUCKETS), F.when(F.octet_length(w) > FOLD_BYTES, in_long).otherwise(fold(w, ranks)))
 
-    return staged.withColumn(out, F.flatten(F.transform(words, ids))).drop(words, long, long + "_ids")
+    return staged.withColumn(out, F.flatten(let(table, lambda t: let(ranks, lambda r: F.transform(words, lambda w: ids(w, t, r)))))).drop(words, long, long + "_ids")
 
 
 def decode_column(df: DataFrame, ids: str, out: str, path: str | None = None) -> DataFrame:
@@ -164,5 +169,5 @@ def decode_column(df: DataFrame, ids: str, out: str, path: str | None = None) ->
     for piece, rank in ranks.items():
         pieces[rank] = piece
     table = literal([p.hex() for p in pieces], "array<string>")
-    hexes = F.array_join(F.transform(ids, lambda i: F.get(table, i)), "")
+    hexes = let(table, lambda t: F.array_join(F.transform(ids, lambda i: F.get(t, i)), ""))
     return df.withColumn(out, F.decode(F.unhex(hexes), "UTF-8"))

@@ -17,6 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .lookalike import LOOKALIKES
+from .sampling import hash_sample
 
 LANGUAGES = ("en", "de", "fr", "es", "pt", "ru")
 #: Rows of the training sample (the smallest by a hash of the id), code points of an n-gram, slots of the filter.
@@ -196,7 +197,7 @@ def train(sample: pd.DataFrame, rounds: int = 2) -> Filter:
 def sample_rows(df: DataFrame, key: str, text: str, label: str, rows: int = SAMPLE_ROWS) -> pd.DataFrame:
     """At most `rows` labelled texts, the first by a hash of the id; at most 4,000 characters of each go to the driver."""
     known = df.where(F.col(label).isNotNull() & (F.length(F.trim(F.coalesce(text, F.lit("")))) > 40))
-    few = known.orderBy(F.xxhash64(F.col(key)), key).limit(rows)
+    few = hash_sample(known, df.count(), key, rows)
     return few.select(F.substring(text, 1, 4000).alias("text"), F.col(label).alias("label")).toPandas()
 
 

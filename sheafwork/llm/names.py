@@ -228,7 +228,8 @@ def firm(value: str | None) -> tuple[str, str, str] | None:
     core = [w for w in own if _TRADE.get(w) != trade or not trade]
     if not core:
         core = own
-    return "".join(core), trade, "".join(w[0] for w in own)
+    # The trade's initial comes last, wherever the trade stands.
+    return "".join(core), trade, "".join(w[0] for w in core) + ("".join(w[0] for w in own if w not in core)[:1])
 
 
 @lru_cache(200_000)
@@ -290,7 +291,7 @@ def cores(values: DataFrame, kind: str) -> DataFrame:
                 sign = None
                 if p and kind == "company":
                     sign = p[0] if 2 <= len(p[0]) <= 5 and not p[1] else p[2] if len(p[2]) >= 2 else None
-                rows.append((p[0] + ("" if kind == "person" or p[1] else "") if p else None, sign))
+                rows.append((p[0] if p else None, sign))
             yield pd.DataFrame({"batch_id": batch["batch_id"], "value": batch["value"], "core": [r[0] for r in rows], "sign": [r[1] for r in rows]})
 
     return values.mapInPandas(run, "batch_id bigint, value string, core string, sign string").where("core is not null")

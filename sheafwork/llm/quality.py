@@ -16,6 +16,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .boosting import Boosted
+from .sampling import hash_sample
 
 CLASSES = ("prose", "list", "table", "junk")
 #: Rows of the weakly labelled training sample (the smallest by a hash of the id).
@@ -191,7 +192,7 @@ def train(texts: list[str]) -> Boosted:
 def sample_texts(df: DataFrame, key: str, text: str, rows: int = SAMPLE_ROWS) -> list[str]:
     """Whole texts of at most `rows` rows for the driver, the first by a hash of the key; longer than 20,000 characters are passed over."""
     fit = df.where(F.col(text).isNotNull() & (F.length(F.trim(text)) > 0) & (F.length(text) <= 20_000))
-    return [r[0] for r in fit.orderBy(F.xxhash64(key), key).limit(rows).select(text).collect()]
+    return [r[0] for r in hash_sample(fit, df.count(), key, rows).select(text).collect()]
 
 
 def classify(df: DataFrame, key: str, text: str, model: Boosted) -> DataFrame:

@@ -3,8 +3,9 @@
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..session import table
+from ..session import cut, table
 from . import bpe, canonical, language, lookalike, mixing, names, personal, quality
+from .sampling import hash_sample
 
 
 def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -26,7 +27,7 @@ def _p5(spark: SparkSession, sf_dir: str) -> tuple[personal.Finder, list[tuple[s
         df = table(spark, sf_dir, name).select(key, field)
         if whole:  # re-delivered rows are equal
             df = df.dropDuplicates([key])
-        few = df.where(F.length(field) > 0).orderBy(F.xxhash64(key), key).limit(personal.SAMPLE_ROWS).select(F.substring(field, 1, 4000).alias("v")).collect()
+        few = hash_sample(df.where(F.length(field) > 0), table(spark, sf_dir, name).count(), key, personal.SAMPLE_ROWS).select(F.substring(field, 1, 4000).alias("v")).collect()
         sample += [(r.v, whole) for r in few]
         fields.append((field, key, whole, df))
     return personal.train(sample), fields
@@ -90,7 +91,7 @@ def p8_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     targets = table(spark, sf_dir, "mix_targets")
     listed = docs.join(targets.select(F.col("source_name").alias("source")), "source", "left_semi")
     sized = bpe.encode_column(listed, "text").select("doc_id", "source", F.size("ids").alias("n_tokens"))
-    return mixing.mix(sized, targets, "doc_id", "source", "n_tokens")
+    return mixing.mix(cut(sized), targets, "doc_id", "source", "n_tokens")
 
 
 def p8_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
