@@ -251,11 +251,12 @@ def rate_limits(spark, sf_dir):
     return S.fixed_windows(table(spark, sf_dir, "events"), "user_id", "ts", "event_id", 2, 86_400)
 
 
+_ENDS = "trim(line, ' ') = '' OR (" + _KIND_SQL.replace(" h IN", r" lower(trim(regexp_replace(line, '[:\s]+$', ''), ' ')) IN") + ") IS NOT NULL"
 _CASES = f"CASE WHEN regexp_matches(line, '{P.RANGE}') AND NOT regexp_matches(line, '{BULLET}') AND len(regexp_extract_all(line, '{WORD}')) <= 18 THEN 1 ELSE 0 END"
 
 
 @query(
-    rf"""WITH l AS ({_LINES}), k AS (SELECT *, {_CASES} AS anchor, trim(line, ' ') = '' OR ({_KIND_SQL.replace(' h IN', " lower(trim(regexp_replace(line, '[:\s]+$', ''), ' ')) IN")}) IS NOT NULL AS ends FROM l),
+    rf"""WITH l AS ({_LINES}), k AS (SELECT *, {_CASES} AS anchor, {_ENDS} AS ends FROM l),
     j AS (SELECT *, sum(anchor) OVER w AS job_no, sum(CASE WHEN ends AND anchor = 0 THEN 1 ELSE 0 END) OVER w AS closed FROM k WINDOW w AS (PARTITION BY extraction_id ORDER BY line_no)),
     a AS (SELECT extraction_id, job_no, closed AS upto FROM j WHERE anchor = 1)
     SELECT j.extraction_id, CAST(j.job_no AS INTEGER) AS job_no, CAST(count(*) FILTER (WHERE anchor = 0 AND closed = upto) AS INTEGER) AS n_bullets FROM j JOIN a ON j.extraction_id = a.extraction_id AND j.job_no = a.job_no GROUP BY j.extraction_id, j.job_no"""

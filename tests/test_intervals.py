@@ -24,7 +24,7 @@ def brute(rows):
     return out
 
 
-@pytest.mark.parametrize("cell_bits,reach,most", [(12, 300, 40), (3, 400, 90), (8, 1 << 36, 1 << 30)])
+@pytest.mark.parametrize("cell_bits,reach,most", [(12, 300, 40), (5, 150, 90), (8, 1 << 36, 1 << 30)])
 def test_against_brute_force(spark, cell_bits, reach, most):
     rng = random.Random(cell_bits * reach)
     rows = []
