@@ -9,7 +9,6 @@ is shuffled, so the skew of words and sources does not matter.
 
 import base64
 import heapq
-import json
 import zlib
 from collections.abc import Callable, Iterator
 
@@ -45,22 +44,26 @@ def java_pattern(pattern: str) -> str:
     return inner.replace(r"(?!\S)", f"(?![^{space}])").replace(r"\s", space)
 
 
-def literal(value: object, ddl: str) -> Column:
-    """A constant of any type, also inside lambdas: JSON text that the optimizer folds into one literal."""
-    return F.from_json(F.lit(json.dumps(value, ensure_ascii=False)), ddl)
+def with_constant(df: DataFrame, name: str, value: object, ddl: str) -> DataFrame:
+    """df with a column that holds one value in every row: a scalar subquery over one local row.
+
+    The optimizer moves the subquery to where the column is read, if that is at one place (see let), so the value is no part of
+    the rows; each executor gets it once with the stage. A literal would be printed with every plan.
+    """
+    return df.select("*", df.sparkSession.createDataFrame([(value,)], f"v {ddl}").scalar().alias(name))
 
 
 def let(value: Column, body: Callable[[Column], Column]) -> Column:
-    """body(value) with the value standing once in the expression: plans are printed, and large constants with them."""
+    """body(value) with the value standing once in the expression."""
     return F.get(F.transform(F.array(value), lambda v: body(v)), 0)
 
 
-def bucketed_map(entries: dict[str, object], buckets: int, value_ddl: str) -> Column:
-    """Map literal in buckets by CRC-32, since Spark searches a map from its start."""
+def in_buckets(entries: dict[str, object], buckets: int) -> list[dict[str, object]]:
+    """The entries as maps in buckets by CRC-32, since Spark searches a map from its start."""
     table: list[dict] = [{} for _ in range(buckets)]
     for key, value in entries.items():
         table[zlib.crc32(key.encode("utf-8", "surrogatepass")) % buckets][key] = value
-    return literal(table, f"array<map<string,{value_ddl}>>")
+    return table
 
 
 def lookup(table: Column, key: Column, buckets: int) -> Column:
@@ -143,13 +146,15 @@ def encode_column(df: DataFrame, text: str, out: str = "ids", path: str | None =
     """
     spark = df.sparkSession
     path = path or tokenizer_path()
-    ranks = bucketed_map({k.hex().upper(): v for k, v in load_ranks(path).items()}, RANK_BUCKETS, "int")
+    ranks = in_buckets({k.hex().upper(): v for k, v in load_ranks(path).items()}, RANK_BUCKETS)
+    rank_map = "array<map<string,int>>"
     cut = lambda c: F.regexp_extract_all(F.coalesce(c, F.lit("")), F.lit(java_pattern(PATTERN)), F.lit(0))
     counted = df.select(F.explode(cut(F.col(text))).alias("word")).groupBy("word").count()
     # A word seen once gains nothing from the map.
     hot = counted.where((F.octet_length("word") <= HOT_BYTES) & (F.col("count") > 1)).orderBy(F.desc("count"), "word").limit(hot_words)
-    known = {r.word: r.ids for r in hot.repartition(max(8, spark.sparkContext.defaultParallelism)).select("word", let(ranks, lambda r: fold(F.col("word"), r)).alias("ids")).collect()}
-    table = bucketed_map(known, WORD_BUCKETS, "array<int>")
+    apart = with_constant(hot.repartition(max(8, spark.sparkContext.defaultParallelism)).select("word"), "__bpe_ranks", ranks, rank_map)
+    known = {r.word: r.ids for r in apart.select("word", let(F.col("__bpe_ranks"), lambda r: fold(F.col("word"), r)).alias("ids")).collect()}
+    known = in_buckets(known, WORD_BUCKETS)
     words, long = "__bpe_words", "__bpe_long"
     staged = df.withColumn(words, cut(F.col(text)))
     staged = staged.withColumn(long, F.filter(words, lambda w: F.octet_length(w) > FOLD_BYTES))
@@ -159,7 +164,9 @@ def encode_column(df: DataFrame, text: str, out: str = "ids", path: str | None =
         in_long = F.get(F.col(long + "_ids"), F.array_position(F.col(long), w).cast("int") - 1)
         return F.coalesce(lookup(table, w, WORD_BUCKETS), F.when(F.octet_length(w) > FOLD_BYTES, in_long).otherwise(fold(w, ranks)))
 
-    return staged.withColumn(out, F.flatten(let(table, lambda t: let(ranks, lambda r: F.transform(words, lambda w: ids(w, t, r)))))).drop(words, long, long + "_ids")
+    staged = with_constant(with_constant(staged, "__bpe_ranks", ranks, rank_map), "__bpe_known", known, "array<map<string,array<int>>>")
+    coded = F.flatten(let(F.col("__bpe_known"), lambda t: let(F.col("__bpe_ranks"), lambda r: F.transform(words, lambda w: ids(w, t, r)))))
+    return staged.select(*[F.col(f"`{c}`") for c in df.columns if c != out], coded.alias(out))
 
 
 def decode_column(df: DataFrame, ids: str, out: str, path: str | None = None) -> DataFrame:
@@ -168,6 +175,6 @@ def decode_column(df: DataFrame, ids: str, out: str, path: str | None = None) ->
     pieces: list[bytes] = [b""] * (max(ranks.values()) + 1)
     for piece, rank in ranks.items():
         pieces[rank] = piece
-    table = literal([p.hex() for p in pieces], "array<string>")
-    hexes = let(table, lambda t: F.array_join(F.transform(ids, lambda i: F.get(t, i)), ""))
-    return df.withColumn(out, F.decode(F.unhex(hexes), "UTF-8"))
+    staged = with_constant(df, "__bpe_pieces", [p.hex() for p in pieces], "array<string>")
+    hexes = let(F.col("__bpe_pieces"), lambda t: F.array_join(F.transform(ids, lambda i: F.get(t, i)), ""))
+    return staged.select(*[F.col(f"`{c}`") for c in df.columns if c != out], F.decode(F.unhex(hexes), "UTF-8").alias(out))
