@@ -1,4 +1,5 @@
 import io
+import time
 import zipfile
 import zlib
 
@@ -138,6 +139,22 @@ def test_limiter(spark):
     assert {tuple(r) for r in S.fixed_windows(df, "user_id", "ts", "event_id", 2, 60).collect()} == want
 
 
+def test_limiter_on_a_stream(spark, tmp_path):
+    events = [(1, 1, 0), (1, 2, 10), (1, 3, 20), (1, 4, 61), (2, 5, 5)]
+    df = spark.createDataFrame(events, "user_id bigint, event_id bigint, s int").selectExpr("user_id", "event_id", "timestamp_seconds(1700000000 + s) as ts")
+    df.coalesce(1).write.parquet(str(tmp_path / "in"))
+    out = pipeline.limited_stream(pipeline.stream_table(spark, str(tmp_path / "in"), df), "user_id", "ts", "event_id", 2, 60)
+    q = out.writeStream.format("memory").queryName("limited").outputMode("append").option("checkpointLocation", str(tmp_path / "cp")).start()
+    # With a timeout set the query never rests, so it is stopped when the rows are there.
+    for _ in range(60):
+        time.sleep(1)
+        got = {tuple(r) for r in spark.table("limited").collect()}
+        if len(got) == len(events):
+            break
+    q.stop()
+    assert got == {(1, 1, True), (1, 2, True), (1, 3, False), (1, 4, True), (2, 5, True)}
+
+
 def test_scores_of_a_stream_equal_the_batch(spark, docs, tmp_path):
     docs.coalesce(1).write.parquet(str(tmp_path / "in"))
     stream = pipeline.scored_stream(pipeline.stream_table(spark, str(tmp_path / "in"), docs), "id", "t", ["helped"], ["clear words"])
