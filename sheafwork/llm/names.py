@@ -4,7 +4,8 @@ Each value is reduced to a core (the surname, or the firm's own words, in plain
 the metric space of the Levenshtein distance. In each batch pivots are taken from its cores; a core belongs to the cell of
 its nearest pivot and is replicated, by the triangle inequality, to every cell whose pivot is at most twice the radius
 farther, so that an exact radius join inside the cells loses no pair. Within a cell the distances to the pivot and the lengths of
-two cores in reach differ by no more than the radius; they join as equal keys. Pairs of values in reach are then verified on the
+two cores in reach differ by no more than the radius; they join as equal keys. Firms whose trade word is not known, perhaps misspelt, are
+joined in the same way to those with a trade by all their own words. Pairs of values in reach are then verified on the
 whole name: given names, initials and nicknames, or the trade and abbreviations of a firm.
 """
 
@@ -23,6 +24,8 @@ from .personal import FILE_WORDS, TITLES
 
 #: Levenshtein radius of the join (a swap of neighbours costs two), and cores for each pivot of a batch.
 RADIUS, PER_PIVOT = 3, 256
+#: Radius of the join of firms with their trade word: all that two edits reach, each of them a swap.
+WHOLE_RADIUS = 4
 
 # Latin spelling of Cyrillic letters.
 CYRILLIC = dict(zip("абвгдеёжзийклмнопрстуфхцчшщъыьэюя", "a b v g d e e zh z i y k l m n o p r s t u f kh ts ch sh shch - y - e yu ya".split()))
@@ -272,15 +275,19 @@ def same_firm(a: tuple[str, str, str], b: tuple[str, str, str], slack: int = 0)
     if a[1] == b[1]:
         return edits(a[0], b[0]) <= limit + slack
     # A misspelt trade word stands among the own words.
-    whole = lambda x: x[0] + x[1]
     return (not a[1] or not b[1]) and len(whole(a)) > 8 and edits(whole(a), whole(b)) <= 2
 
 
+def whole(x: tuple[str, str, str]) -> str:
+    """All own words of a firm, the trade word with them."""
+    return x[0] + x[1]
+
+
 KINDS = {"person": (person, same_person), "company": (firm, same_firm)}
 
 
 def cores(values: DataFrame, kind: str) -> DataFrame:
-    """(batch_id, value, core, sign) of distinct values; sign is the initials of a firm of three or more words, or a lone group of capitals."""
+    """(batch_id, value, core, sign, whole, traded) of distinct values; sign is the initials of a firm of three or more words, or a lone group of capitals."""
     parse = KINDS[kind][0]
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -291,10 +298,11 @@ def cores(values: DataFrame, kind: str) -> DataFrame:
                 sign = None
                 if p and kind == "company":
                     sign = p[0] if 2 <= len(p[0]) <= 5 and not p[1] else p[2] if len(p[2]) >= 2 else None
-                rows.append((p[0] if p else None, sign))
-            yield pd.DataFrame({"batch_id": batch["batch_id"], "value": batch["value"], "core": [r[0] for r in rows], "sign": [r[1] for r in rows]})
+                rows.append((p[0] if p else None, sign, whole(p) if p and kind == "company" else None, bool(p and p[1])))
+            found = pd.DataFrame(rows, columns=["core", "sign", "whole", "traded"], index=batch.index)
+            yield pd.concat([batch[["batch_id", "value"]], found], axis=1)
 
-    return values.mapInPandas(run, "batch_id bigint, value string, core string, sign string").where("core is not null")
+    return values.mapInPandas(run, "batch_id bigint, value string, core string, sign string, whole string, traded boolean").where("core is not null")
 
 
 def radius_pairs(points: DataFrame, radius: int = RADIUS, per_pivot: int = PER_PIVOT) -> DataFrame:
@@ -302,7 +310,10 @@ def radius_pairs(points: DataFrame, radius: int = RADIUS, per_pivot: int = PER_P
 
     points: batch_id, core (distinct, not null). Pivots of a batch are its smallest cores by a hash, one for each
     per_pivot cores begun; their number grows with the batch, so that no cell depends on a single pivot.
+    Where points also have booleans as_left and as_right, only pairs of a left and a right core are given, in this order.
     """
+    sided = "as_left" in points.columns
+    points = points if sided else points.withColumns({"as_left": F.lit(True), "as_right": F.lit(True)})
     counted = points.groupBy("batch_id").agg(F.count("*").alias("n"))
     # A core becomes a pivot by chance of 1 / per_pivot of the hash; a batch without any takes its smallest core.
     chance = points.withColumn("h", F.xxhash64("core"))
@@ -314,10 +325,12 @@ def radius_pairs(points: DataFrame, radius: int = RADIUS, per_pivot: int = PER_P
     home = near.groupBy("batch_id", "core").agg(F.min(F.struct("d", "pivot")).alias("home"))
     cells = near.join(home, ["batch_id", "core"]).where(F.col("d") <= F.col("home.d") + 2 * radius)
     reach = lambda c: F.explode(F.sequence(F.greatest(c - radius, F.lit(0)), c + radius))
-    left = cells.where(F.col("pivot") == F.col("home.pivot")).select("batch_id", "pivot", F.col("core").alias("left_core"), F.length("core").alias("len"), "d")
-    right = cells.select("batch_id", "pivot", F.col("core").alias("right_core"), F.length("core").alias("size"), "d", reach(F.length("core")).alias("len"))
+    left = cells.where((F.col("pivot") == F.col("home.pivot")) & F.col("as_left")).select("batch_id", "pivot", F.col("core").alias("left_core"), F.length("core").alias("len"), "d")
+    right = cells.where("as_right").select("batch_id", "pivot", F.col("core").alias("right_core"), F.length("core").alias("size"), "d", reach(F.length("core")).alias("len"))
     right = right.select("batch_id", "pivot", "right_core", "len", reach(F.col("d")).alias("d"))
     pairs = left.join(right, ["batch_id", "pivot", "len", "d"]).where(F.levenshtein("left_core", "right_core", radius) >= 0)
+    if sided:
+        return pairs.select("batch_id", "left_core", "right_core").distinct()
     return pairs.select("batch_id", F.least("left_core", "right_core").alias("left_core"), F.greatest("left_core", "right_core").alias("right_core")).distinct()
 
 
@@ -334,6 +347,13 @@ def variant_links(rows: DataFrame, kind: str) -> DataFrame:
     right = values.select("batch_id", F.col("core").alias("right_core"), F.col("value").alias("right_value"))
     both = pairs.join(left, ["batch_id", "left_core"]).join(right, ["batch_id", "right_core"]).select("batch_id", "left_value", "right_value", F.lit(False).alias("by_sign"))
     if kind == "company":
+        # A misspelt trade word against the known one: firms without a trade and firms with one, by all their own words.
+        sides = values.groupBy("batch_id", F.col("whole").alias("core")).agg(F.bool_or(~F.col("traded")).alias("as_left"), F.bool_or("traded").alias("as_right"))
+        near = radius_pairs(sides, WHOLE_RADIUS)
+        untraded = values.where(~F.col("traded")).select("batch_id", F.col("whole").alias("left_core"), F.col("value").alias("left_value"))
+        traded = values.where("traded").select("batch_id", F.col("whole").alias("right_core"), F.col("value").alias("right_value"))
+        near = near.join(untraded, ["batch_id", "left_core"]).join(traded, ["batch_id", "right_core"])
+        both = both.unionByName(near.select("batch_id", "left_value", "right_value", F.lit(False).alias("by_sign")))
         # A lone group of capitals against the initials of the firms of its batch.
         alone = values.where(F.col("sign") == F.col("core")).select("batch_id", "sign", F.col("value").alias("left_value"))
         full = values.where((F.col("sign") != F.col("core")) & (F.length("sign") >= 3)).select("batch_id", "sign", F.col("value").alias("right_value"))

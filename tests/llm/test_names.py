@@ -23,6 +23,18 @@ def test_firms(spark):
     assert linked(spark, "company", same + others) == set(itertools.combinations(range(5), 2))
 
 
+def test_misspelt_trade(spark):
+    values = ["Halvorn Staffing Group", "Halvorn Stafing Group", "Halvorn Stfafnig", "Halvorn Dairy", "Corvane Stafing", "Halvorn"]
+    assert linked(spark, "company", values) >= {(0, 1), (0, 2)}
+    assert not {p for p in linked(spark, "company", values) if p[1] > 2}
+
+
+def test_radius_join_of_two_sides(spark):
+    rows = [(1, "halvornstafing", True, False), (1, "halvornstaffing", False, True), (1, "halvornstaffin", False, True), (1, "corvane", True, True)]
+    got = N.radius_pairs(spark.createDataFrame(rows, "batch_id bigint, core string, as_left boolean, as_right boolean"), radius=2).collect()
+    assert {(r.left_core, r.right_core) for r in got} == {("halvornstafing", "halvornstaffing"), ("halvornstafing", "halvornstaffin"), ("corvane", "corvane")}
+
+
 def test_radius_join_loses_no_pair(spark):
     rng = random.Random(3)
     cores = sorted({"".join(rng.choice("abc") for _ in range(rng.randint(3, 8))) for _ in range(400)})
