@@ -48,3 +48,18 @@ def test_redaction_and_find(spark):
     found = P.find(df, "id", "text", FINDER).collect()
     assert len(found) == 20 and all(CV[r.start_at : r.end_at].strip() for r in found)
     assert P.find(df.limit(0), "id", "text", FINDER).collect() == []
+
+
+def test_names_without_a_known_caption():
+    names = [(f"{g} {s}", True) for g in ("Clara", "Jonas", "Rosa") for s in ("Winterholt", "Berg", "Maier", "Amsel")] * 5
+    texts = [(CV + f"\n- Coached by {g} Amsel.\nClerk, Holm Foods Ltd", False) for g in ("Clara", "Jonas", "Rosa")] * 15
+    finder = P.train(texts + names)
+    got = lambda text: [(k, text[a:b]) for k, a, b, _ in finder.spans([text], False)[0]]
+    text = CV.split("\n")[0] + "\n\nI planned the work for 34 people in Velm.\n- Checked the lists together with Rosa Lindenau.\n- Coached by Xaver Zolt.\nThen Mrs. Ida Falk of Holm Foods Ltd came."
+    assert [x for x in got(text) if x[0] == "name"] == [("name", "Clara Winterholt"), ("name", "Rosa Lindenau"), ("name", "Xaver Zolt"), ("name", "Ida Falk")]
+    assert ("name", "Xaver Zolt") in got(CV + "\n- Treinamento dado por Xaver Zolt.") and ("name", "Ida Falk") in got(CV + "\n- Referência: Dra. Ida Falk.")
+
+
+def test_a_street_after_the_name():
+    got = [p for p in P.proposals("Николай Барлакеткин, Кренменская проспект, 52, 59492 Brennick") if p[0] in ("name", "address")]
+    assert ("name", 0, 19, "head") in got and any(k == "address" and a == 21 for k, a, _, _ in got)
