@@ -141,7 +141,6 @@ def leaks(c: Column, values: Column) -> Column:
 def scan_terms(c: Column, terms: list[str]) -> Column:
     """Terms found longest first; a hit is blanked out, so that shorter terms inside it don't count. Ascending array."""
     ordered = sorted({t.lower() for t in terms}, key=lambda t: (-len(t), t))
-    state = F.struct(F.lower(c).alias("text"), F.array().cast("array<string>").alias("hits"))
 
     def step(acc: Column, term: Column) -> Column:
         pattern = F.concat(F.lit(r"(?<![\p{L}\p{N}])\Q"), term, F.lit(r"\E(?![\p{L}\p{N}])"))
@@ -149,5 +148,19 @@ def scan_terms(c: Column, terms: list[str]) -> Column:
         blanked = F.call_function("regexp_replace", acc.getField("text"), pattern, F.repeat(F.lit("\u0001"), F.length(term)))
         return F.when(hit, F.struct(blanked.alias("text"), F.array_append(acc.getField("hits"), term).alias("hits"))).otherwise(acc)
 
-    present = F.filter(F.array(*[F.lit(t) for t in ordered]), lambda t: F.contains(F.lower(c), t))
-    return F.aggregate(present, state, step, lambda acc: F.array_sort(acc.getField("hits")))
+    def scan(low: Column) -> Column:
+        state = F.struct(low.alias("text"), F.array().cast("array<string>").alias("hits"))
+        present = F.filter(F.array(*[F.lit(t) for t in ordered]).cast("array<string>"), lambda t: F.contains(low, t))
+        return F.aggregate(present, state, step, lambda acc: F.array_sort(acc.getField("hits")))
+
+    # The lower-case text is made once, not for each term.
+    return F.get(F.transform(F.array(F.lower(c)), scan), 0)
+
+
+def scan_names(c: Column, names: dict[str, str]) -> Column:
+    """Distinct names of the terms found, ascending; names: term to its name, terms by folded case."""
+    folded = {t.lower(): n for t, n in names.items() if t.strip()}
+    if not folded:
+        return F.when(c.isNotNull(), F.array().cast("array<string>"))
+    named = F.create_map(*[F.lit(x) for pair in sorted(folded.items()) for x in pair])
+    return F.array_sort(F.array_distinct(F.transform(scan_terms(c, list(folded)), lambda t: F.try_element_at(named, t))))

@@ -22,7 +22,6 @@ BULLET = r"^\s*(?:[-*•–—▪·‣◦]|\d{1,2}[.)])\s+"
 WEAK = ["helped", "assisted", "prepared", "préparé", "preparei", "preparé", "подготовил", "tested"]
 PHRASES = ["my task was clear", "i learn quickly", "meine aufgabe war klar", "ma mission était claire", "mi tarea era clara", "a minha tarefa era clara", "задача была понятной"]
 KEYWORDS = ["report", "contract", "stock", "plan", "budget"]
-TERMS = ["Quorvex", "Quorvex Suite", "Tilbase", "Tilbase DB", "Route planning", "Tax filing", "Night guarding", "Payroll accounting", "Kestwick", "Kestwick ERP", "Glass cutting"]
 
 
 def query(sql: str | None = None):
@@ -123,7 +122,11 @@ def redacted_texts(spark, sf_dir):
 
 @query()
 def scanned_terms(spark, sf_dir):
-    return _extractions(spark, sf_dir).where("plain_text is not null").select("extraction_id", F.array_join(O.scan_terms(F.col("plain_text"), TERMS), "|").alias("terms"))
+    """Skills of the reference table, told by name or alias; the table is a vocabulary of some 80 entries and goes to the driver."""
+    entries = table(spark, sf_dir, "skill_reference").select("canonical", "aliases").where("canonical is not null").orderBy("canonical").collect()
+    # A name of its own goes before another entry's alias.
+    names = {alias: r.canonical for r in entries for alias in r.aliases or () if alias} | {r.canonical: r.canonical for r in entries}
+    return _extractions(spark, sf_dir).where("plain_text is not null").select("extraction_id", F.array_join(O.scan_names(F.col("plain_text"), names), "|").alias("terms"))
 
 
 @query("SELECT DISTINCT candidate_id, CASE WHEN regexp_matches(lower(file_name), '\\.(pdf|docx|txt|md)$') THEN regexp_extract(lower(file_name), '\\.(pdf|docx|txt|md)$', 1) END AS format FROM candidates")

@@ -56,6 +56,15 @@ def test_bullets_contacts_terms(docs):
     assert r.l == ["Nora Feld"] and "[[EMAIL]]" in r.r and "[[PHONE]]" in r.r
 
 
+def test_scanned_terms_cover_the_reference(spark, tmp_path):
+    text = "Skills: wage accounting, Quorvex suite, route planning; payroll accounting. Gobi"
+    spark.createDataFrame([(1, text), (2, None), (3, "")], "extraction_id bigint, plain_text string").write.parquet(str(tmp_path / "extractions.parquet"))
+    skills = [("Payroll accounting", ["wage accounting"]), ("Quorvex Suite", None), ("Quorvex", []), ("Route planning", ["tour scheduling"]), ("Go", ["golang"])]
+    spark.createDataFrame(skills, "canonical string, aliases array<string>").write.parquet(str(tmp_path / "skill_reference.parquet"))
+    got = {r.extraction_id: r.terms for r in registry.queries()["scanned_terms"](spark, str(tmp_path)).collect()}
+    assert got == {1: "Payroll accounting|Quorvex Suite|Route planning", 3: ""}
+
+
 def test_rules_and_scores(docs):
     out = R.evaluate(R.facts(docs, "id", "t", ["helped"], ["clear words"]), "id")
     found = {(r.id, r.rule_id): r for r in R.findings(out, "id").collect()}
