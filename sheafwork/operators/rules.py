@@ -6,6 +6,7 @@ without a shuffle, as the outcomes stay in one array per document.
 
 from collections.abc import Callable
 from dataclasses import dataclass
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -16,6 +17,9 @@ from . import documents as O
 # Weights of the dimensions in hundredths, severities in order.
 DIMENSIONS = {"parseability": 26, "structure": 18, "content": 24, "keywords": 14, "narrative": 8, "language": 5, "international": 5}
 SEVERITIES = ("critical", "major", "minor", "info")
+# Openings that tell duties instead of results, and praise that nobody can verify.
+WEAK_OPENINGS = "responsible for|responsibilities included|duties included|worked on|worked with|worked as|helped with|helped to|assisted with|assisted in|participated in|involved in|took part in|tasked with|in charge of|was part of|my role was|my responsibilities|занимался|занималась|отвечал за|отвечала за|участвовал в|участвовала в|помогал|помогала|принимал участие|принимала участие|выполнял обязанности|в мои обязанности входило|обязанности:|работал над|работала над|работал с|работала с".split("|")
+CLICHES = "hard worker|hard-working|team player|self-starter|go-getter|think outside the box|detail-oriented|detail oriented|results-oriented|results-driven|goal-oriented|proven track record|dynamic professional|synergy|best of breed|value add|passionate about|guru|ninja|rockstar|wizard|excellent communication skills|strong work ethic|fast learner|quick learner|ответственный|коммуникабельный|стрессоустойчивый|стрессоустойчивость|целеустремлённый|целеустремленный|обучаемость|быстро обучаюсь|легко обучаем|пунктуальный|исполнительный|умение работать в команде|без вредных привычек|активная жизненная позиция|желание развиваться|нацеленность на результат".split("|")
 
 
 @dataclass(frozen=True)
@@ -69,7 +73,7 @@ if len({r.id for r in RULES}) != len(RULES):
 
 
 def facts(df: DataFrame, key: str, text: str, weak: list[str], cliches: list[str]) -> DataFrame:
-    """One row of facts a document; df also has has_text_layer and has_problematic_glyphs. A null text counts as empty."""
+    """One row of facts a document; df also has has_text_layer and has_problematic_glyphs. A null text counts as empty. Openings and phrases are compared in normalized form."""
     d = df.select(key, F.coalesce("has_text_layer", F.lit(False)).alias("has_text_layer"), F.coalesce("has_problematic_glyphs", F.lit(False)).alias("glyphs"), F.coalesce(text, F.lit("")).alias("t"))
     t = F.col("t")
     lines = T.lines(t)
@@ -79,9 +83,10 @@ def facts(df: DataFrame, key: str, text: str, weak: list[str], cliches: list[str
     digits = lambda x: F.length(F.regexp_replace(x, r"\D", ""))
     email = F.regexp_extract(t, O.EMAIL, 0)
     latin, cyrillic = F.regexp_count(t, F.lit(r"\p{IsLatin}")), F.regexp_count(t, F.lit(r"\p{IsCyrillic}"))
-    d = d.withColumns({"b": bullets, "n": lengths, "m": marks})
+    d = d.withColumns({"b": bullets, "n": lengths, "m": marks, "folded": T.normalize(t)})
     many = lambda test: F.size(F.filter("b", test))
-    opens = lambda x: F.exists(F.array(*[F.lit(w) for w in weak]), lambda w: F.startswith(F.lower(x), w))
+    phrase = lambda p: T.normalize(F.lit(p))
+    opens = F.filter(F.transform("b", T.normalize), lambda x: reduce(Column.__or__, [F.startswith(x, phrase(w)) for w in weak], F.lit(False)))
     return d.select(
         key,
         "has_text_layer",
@@ -92,11 +97,11 @@ def facts(df: DataFrame, key: str, text: str, weak: list[str], cliches: list[str
         F.get(F.filter(F.regexp_extract_all(t, F.lit(O.PHONE), F.lit(0)), lambda x: digits(x).between(10, 15)), 0).alias("phone"),
         F.size("b").alias("n_bullets"),
         many(lambda x: x.rlike(r"\d")).alias("quantified"),
-        many(opens).alias("weak"),
+        F.size(opens).alias("weak"),
         many(lambda x: T.word_count(x) > 34).alias("overlong"),
         many(lambda x: T.word_count(x) < 4).alias("stubs"),
         F.size(F.filter("m", lambda x: x.isin(list(O.MARKS)))).alias("marks"),
-        F.size(F.filter(F.array(*[F.lit(c) for c in cliches]), lambda c: F.contains(F.lower(t), c))).alias("cliches"),
+        sum((F.contains(F.col("folded"), phrase(c)).cast("int") for c in cliches), F.lit(0)).alias("cliches"),
         F.size("n").alias("n_sentences"),
         F.coalesce(F.try_divide(F.aggregate("n", F.lit(0).cast("bigint"), lambda a, x: a + x), F.size("n")), F.lit(0.0)).alias("average"),
         F.size(F.filter("n", lambda x: x > 28)).alias("long_sentences"),

@@ -282,7 +282,7 @@ def vacancy_items(spark, sf_dir):
 
 def _outcomes(spark, sf_dir):
     x = table(spark, sf_dir, "extractions").select("extraction_id", "plain_text", "has_text_layer", "has_problematic_glyphs")
-    return R.evaluate(R.facts(x, "extraction_id", "plain_text", WEAK, PHRASES), "extraction_id")
+    return R.evaluate(R.facts(x, "extraction_id", "plain_text", R.WEAK_OPENINGS, R.CLICHES), "extraction_id")
 
 
 @query()

@@ -76,6 +76,16 @@ def test_rules_and_scores(docs):
         R.Rule("x")
 
 
+def test_rules_use_the_whole_dictionaries(spark, tmp_path):
+    assert (len(R.WEAK_OPENINGS), len(R.CLICHES)) == (35, 41)
+    texts = ["- Responsible for 3 depots\n- Prepared 4 lists\nA team player", "- Участвовал в 2 проектах\nКоммуникабельный, hard–working", "- Подготовил 5 отчётов\nMy task was clear"]
+    rows = [(i, t, True, False) for i, t in enumerate(texts)]
+    spark.createDataFrame(rows, "extraction_id bigint, plain_text string, has_text_layer boolean, has_problematic_glyphs boolean").write.parquet(str(tmp_path / "extractions.parquet"))
+    found = {(r.extraction_id, r.rule_id): r.penalty for r in registry.queries()["rule_findings"](spark, str(tmp_path)).collect()}
+    own = {k: v for k, v in found.items() if k[1] in ("weak-bullet-openings", "cliches")}
+    assert own == {(0, "weak-bullet-openings"): 30, (0, "cliches"): 4, (1, "weak-bullet-openings"): 30, (1, "cliches"): 8}
+
+
 def test_vacancy(spark):
     df = spark.createDataFrame([(1, "Clerk\n\nRequirements\n- Tilbase\n- QVX\n\nNice to have\n* cooking\n\nAbout\nbye"), (2, None)], "job_id int, t string")
     assert [(r.block, r.item_no, r.item) for r in P.vacancy_items(df, "job_id", "t").collect()] == [("requirements", 1, "Tilbase"), ("requirements", 2, "QVX"), ("optional", 3, "cooking")]
