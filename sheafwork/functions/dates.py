@@ -57,12 +57,15 @@ SEPARATOR = r"\s*(?:[–—]|--)\s*(?:по\s+)?|\s+(?:-|to|bis|à|au|a|até|до
 
 
 def parse_date_range(c: Column) -> Column:
-    """struct(start, end, is_current): a range, an open range, or one endpoint as both ends; null where no start is told."""
+    """struct(start, end, is_current): a range, an open range, or one endpoint as both ends; a word for now alone is current without ends; null where neither is told."""
     parts = F.split(F.trim(c), SEPARATOR, 2)
     left, right = F.get(parts, 0), F.get(parts, 1)
     start, end = parse_year_month(left), parse_year_month(right)
     current = is_current_marker(right)
-    return F.when(start.isNotNull(), F.struct(start.alias("start"), F.when(right.isNull(), start).when(~current, end).alias("end"), current.alias("is_current")))
+    told = F.struct(start.alias("start"), F.when(right.isNull(), start).when(~current, end).alias("end"), current.alias("is_current"))
+    none = F.lit(None).cast("struct<year:int,month:int,format:string>")
+    alone = F.struct(none.alias("start"), none.alias("end"), F.lit(True).alias("is_current"))
+    return F.when(start.isNotNull(), told).when(is_current_marker(c), alone)
 
 
 def month_index(year: Column, month: Column) -> Column:

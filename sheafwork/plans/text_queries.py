@@ -122,3 +122,11 @@ def date_ranges(spark, sf_dir):
     e = table(spark, sf_dir, "experience").where("raw_text is not null and start_year is not null and (end_year is not null or is_current)").select("exp_id", "raw_text").distinct()
     r = e.withColumn("r", D.parse_date_range(F.col("raw_text")))
     return r.select("exp_id", "r.start.year", "r.start.month", F.col("r.end.year").alias("ey"), F.col("r.end.month").alias("em"), "r.is_current").toDF("exp_id", "start_year", "start_month", "end_year", "end_month", "is_current")
+
+
+@query()
+def parsed_date_ranges(spark, sf_dir):
+    """Every raw_text parsed, partial and unreadable ones too; date_ranges compares those whose columns are complete with the table."""
+    e = table(spark, sf_dir, "experience").where("raw_text is not null").select("exp_id", "raw_text").distinct()
+    r = e.withColumn("r", D.parse_date_range(F.col("raw_text")))
+    return r.select("exp_id", "r.start.year", "r.start.month", F.col("r.end.year").alias("ey"), F.col("r.end.month").alias("em"), "r.is_current").toDF("exp_id", "start_year", "start_month", "end_year", "end_month", "is_current")

@@ -86,6 +86,14 @@ def test_rules_use_the_whole_dictionaries(spark, tmp_path):
     assert own == {(0, "weak-bullet-openings"): 30, (0, "cliches"): 4, (1, "weak-bullet-openings"): 30, (1, "cliches"): 8}
 
 
+def test_date_ranges_of_partial_rows(spark, tmp_path):
+    texts = [(1, "2019"), (2, "03/2015 - 2017"), (3, "2018 – now"), (4, "now"), (5, None), (6, "05.2011 –")]
+    spark.createDataFrame([(*t, None, None, None) for t in texts], "exp_id bigint, raw_text string, start_year int, end_year int, is_current boolean").write.parquet(str(tmp_path / "experience.parquet"))
+    got = {r[0]: tuple(r)[1:] for r in registry.queries()["parsed_date_ranges"](spark, str(tmp_path)).collect()}
+    assert got[1] == (2019, None, 2019, None, False) and got[2] == (2015, 3, 2017, None, False) and got[3] == (2018, None, None, None, True)
+    assert got[4] == (None, None, None, None, True) and sorted(got) == [1, 2, 3, 4, 6]
+
+
 def test_vacancy(spark):
     df = spark.createDataFrame([(1, "Clerk\n\nRequirements\n- Tilbase\n- QVX\n\nNice to have\n* cooking\n\nAbout\nbye"), (2, None)], "job_id int, t string")
     assert [(r.block, r.item_no, r.item) for r in P.vacancy_items(df, "job_id", "t").collect()] == [("requirements", 1, "Tilbase"), ("requirements", 2, "QVX"), ("optional", 3, "cooking")]
