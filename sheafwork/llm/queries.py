@@ -27,7 +27,7 @@ def _p5(spark: SparkSession, sf_dir: str) -> tuple[personal.Finder, list[tuple[s
         df = table(spark, sf_dir, name).select(key, field)
         if whole:  # re-delivered rows are equal
             df = df.dropDuplicates([key])
-        few = hash_sample(df.where(F.length(field) > 0), table(spark, sf_dir, name).count(), key, personal.SAMPLE_ROWS).select(F.substring(field, 1, 4000).alias("v")).collect()
+        few = hash_sample(df.where(F.length(field) > 0), table(spark, sf_dir, name).count(), key, personal.SAMPLE_ROWS).select(F.col(field).alias("v")).collect()
         sample += [(r.v, whole) for r in few]
         fields.append((field, key, whole, df))
     return personal.train(sample), fields

@@ -60,6 +60,18 @@ def test_names_without_a_known_caption():
     assert ("name", "Xaver Zolt") in got(CV + "\n- Treinamento dado por Xaver Zolt.") and ("name", "Ida Falk") in got(CV + "\n- Referência: Dra. Ida Falk.")
 
 
+def test_sample_takes_whole_texts(spark, tmp_path, monkeypatch):
+    from sheafwork.llm import queries as Q
+
+    text = "I planned the work. " * 300 + "Please contact Maria Lindqvist."
+    spark.createDataFrame([(1, text)], "extraction_id bigint, plain_text string").write.parquet(str(tmp_path / "extractions.parquet"))
+    spark.createDataFrame([(1, "Anna Maier", "a@example.org")], "candidate_id bigint, candidate_name string, email string").write.parquet(str(tmp_path / "candidates.parquet"))
+    seen = []
+    monkeypatch.setattr(P, "train", lambda sample: seen.extend(sample))
+    Q._p5(spark, str(tmp_path))
+    assert seen == [(text, False), ("Anna Maier", True), ("a@example.org", True)]
+
+
 def test_a_street_after_the_name():
     got = [p for p in P.proposals("Николай Барлакеткин, Кренменская проспект, 52, 59492 Brennick") if p[0] in ("name", "address")]
     assert ("name", 0, 19, "head") in got and any(k == "address" and a == 21 for k, a, _, _ in got)
