@@ -195,10 +195,10 @@ def train(sample: pd.DataFrame, rounds: int = 2) -> Filter:
 
 
 def sample_rows(df: DataFrame, key: str, text: str, label: str, rows: int = SAMPLE_ROWS) -> pd.DataFrame:
-    """At most `rows` labelled texts, the first by a hash of the id; at most 4,000 characters of each go to the driver."""
+    """At most `rows` labelled texts, the first by a hash of the id; whole ones go to the driver."""
     known = df.where(F.col(label).isNotNull() & (F.length(F.trim(F.coalesce(text, F.lit("")))) > 40))
     few = hash_sample(known, df.count(), key, rows)
-    return few.select(F.substring(text, 1, 4000).alias("text"), F.col(label).alias("label")).toPandas()
+    return few.select(F.col(text).alias("text"), F.col(label).alias("label")).toPandas()
 
 
 def _decide(batch: pd.DataFrame, found: Filter, key: str, text: str, label: str | None) -> Iterator[tuple]:

@@ -37,3 +37,9 @@ def test_text_paragraph_and_disguise(spark):
 def test_no_labels_and_no_rows(spark):
     nothing = L.train(pd.DataFrame({"text": [], "label": []}))
     assert L.languages(spark.createDataFrame([], "id bigint, text string, label string"), "id", "text", "label", nothing).collect() == []
+
+
+def test_sample_takes_whole_texts(spark):
+    text = "We planned the work together. " * 200
+    df = spark.createDataFrame([(1, text, "en")], "id bigint, t string, lang string")
+    assert L.sample_rows(df, "id", "t", "lang")["text"].tolist() == [text]
