@@ -32,9 +32,12 @@ class Boosted:
         for _ in range(self.rounds if len(x) else 0):
             p = _softmax(score)
             row = []
-            for c in range(classes):
+            # Of two classes the second's trees are the first's with other signs.
+            for c in range(classes) if classes > 2 else (1,):
                 tree, value = self._tree(bins, p[:, c] - target[:, c], np.maximum(p[:, c] * (1 - p[:, c]), 1e-6))
                 score[:, c] += value
+                if classes == 2:
+                    score[:, 0] -= value
                 row.append(tree)
             self.trees.append(row)
         return self
@@ -83,7 +86,11 @@ class Boosted:
                 for level in range(self.depth):
                     split = (1 << level) - 1 + node
                     node = node * 2 + (flat[start + feature[split]] > cut[split])
-                score[:, c] += leaf[node]
+                if self.classes == 2:
+                    score[:, 1] += leaf[node]
+                    score[:, 0] -= leaf[node]
+                else:
+                    score[:, c] += leaf[node]
         return score
 
     def probabilities(self, x: np.ndarray) -> np.ndarray:

@@ -24,12 +24,19 @@ P5_FIELDS = (("plain_text", "extractions", "extraction_id", False), ("candidate_
 def _p5(spark: SparkSession, sf_dir: str) -> tuple[personal.Finder, list[tuple[str, str, bool, DataFrame]]]:
     fields, sample = [], []
     for field, name, key, whole in P5_FIELDS:
-        df = table(spark, sf_dir, name).select(key, field)
+        df = table(spark, sf_dir, name)
         if whole:  # re-delivered rows are equal
             df = df.dropDuplicates([key])
-        few = hash_sample(df.where(F.length(field) > 0), table(spark, sf_dir, name).count(), key, personal.SAMPLE_ROWS).select(F.col(field).alias("v")).collect()
-        sample += [(r.v, whole) for r in few]
-        fields.append((field, key, whole, df))
+        filled = df.where(F.length(field) > 0)
+        few = hash_sample(filled, table(spark, sf_dir, name).count(), key, personal.SAMPLE_ROWS)
+        if whole:
+            sample += [(r.v, True, None, None) for r in few.select(F.col(field).alias("v")).collect()]
+        else:
+            # The candidates' own rows of the sampled texts only; the sample is the small side.
+            few = few.select(key, "candidate_id", F.col(field).alias("v"))
+            own = table(spark, sf_dir, "candidates").join(few.select("candidate_id").distinct(), "candidate_id", "left_semi").groupBy("candidate_id").agg(F.max("candidate_name").alias("n"), F.max("email").alias("e"))
+            sample += [(r.v, False, r.n, r.e) for r in few.join(own, "candidate_id", "left").orderBy(F.xxhash64(key), key).collect()]
+        fields.append((field, key, whole, df.select(key, field)))
     return personal.train(sample), fields
 
 

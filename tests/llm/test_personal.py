@@ -64,14 +64,33 @@ def test_sample_takes_whole_texts(spark, tmp_path, monkeypatch):
     from sheafwork.llm import queries as Q
 
     text = "I planned the work. " * 300 + "Please contact Maria Lindqvist."
-    spark.createDataFrame([(1, text)], "extraction_id bigint, plain_text string").write.parquet(str(tmp_path / "extractions.parquet"))
+    spark.createDataFrame([(1, 1, text)], "extraction_id bigint, candidate_id bigint, plain_text string").write.parquet(str(tmp_path / "extractions.parquet"))
     spark.createDataFrame([(1, "Anna Maier", "a@example.org")], "candidate_id bigint, candidate_name string, email string").write.parquet(str(tmp_path / "candidates.parquet"))
     seen = []
     monkeypatch.setattr(P, "train", lambda sample: seen.extend(sample))
     Q._p5(spark, str(tmp_path))
-    assert seen == [(text, False), ("Anna Maier", True), ("a@example.org", True)]
+    assert seen == [(text, False, "Anna Maier", "a@example.org"), ("Anna Maier", True, None, None), ("a@example.org", True, None, None)]
 
 
 def test_a_street_after_the_name():
     got = [p for p in P.proposals("Николай Барлакеткин, Кренменская проспект, 52, 59492 Brennick") if p[0] in ("name", "address")]
     assert ("name", 0, 19, "head") in got and any(k == "address" and a == 21 for k, a, _, _ in got)
+
+
+def test_names_are_proposed_anywhere():
+    for text, names in (("I worked with John Smith and Maria Lopez.", {"John Smith", "Maria Lopez"}), ("Their boss was Peter Novak.", {"Peter Novak"})):
+        assert names <= {text[a:b] for k, a, b, _ in P.proposals(text) if k == "name"}
+
+
+def test_no_length_cuts_an_address_or_a_head():
+    local = "a" * 300
+    text = f"Write to {local}@{'b' * 200}.example.org now"
+    assert [(k, text[a:b]) for k, a, b, _ in FINDER.spans([text], False)[0]] == [("email", f"{local}@{'b' * 200}.example.org")]
+    long = "Maximilian" + "a" * 40 + " Winterholt" + "b" * 40
+    assert ("name", 0, len(long), "head") in P.proposals(long + "\nPhone: +44 7700 900123")
+
+
+def test_labels_come_from_the_candidates_row():
+    text = "Zora Quill | +44 7700 900123\n\nSummary"
+    assert P.name_label(text, 0, 10, "head", frozenset(), "Quill, Z.") == 1 and P.name_label(text, 0, 10, "head", frozenset(), "Anna Maier") == 0
+    assert P.name_label(text, 0, 10, "head", frozenset(), None) is None and P.name_label(text, 0, 10, "run", frozenset({"Zora"}), None) == 1
