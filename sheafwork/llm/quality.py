@@ -1,18 +1,18 @@
 """Text statistics per document, and the class of its text: prose, list, table or junk.
 
-Labelling functions judge lines (sentence, list entry, row of cells, junk) and so label a bounded sample of documents
-weakly; boosted trees learn the class from document statistics, and their probabilities are
-calibrated on the texts in `HOLDOUT`, which were checked by hand.
+The statistics are built-in functions over the text and its lines, computed in the JVM. Labelling functions judge the lines of a bounded
+sample of documents (sentence, list entry, row of cells, junk) and so label it weakly; what they find is no statistic, so the trees don't see it. Boosted trees
+learn the class from the statistics of four fifths of the sample; their probabilities are calibrated on the rest, which they
+didn't see, and on the texts in `HOLDOUT`, which were checked by hand and count more.
 """
 
 import re
-import zlib
 from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .boosting import Boosted
@@ -117,31 +117,78 @@ def line_kinds(text: str) -> dict[str, float]:
     return {k: v / total for k, v in shares.items()}
 
 
+def _trie(words: list[str]) -> str:
+    """A pattern of the words that branches letter by letter."""
+    first: dict[str, list[str]] = {}
+    for w in words:
+        if w:
+            first.setdefault(w[0], []).append(w[1:])
+    parts = [re.escape(ch) + _trie(sorted(set(rest))) for ch, rest in sorted(first.items())]
+    return ("(?:" + "|".join(parts) + ")" + ("?" if "" in words else "")) if parts else ""
+
+
+# The same marks as patterns of the JVM.
+J_COMMON = r"(?iu)(?<![\p{L}’'])" + _trie(sorted(COMMON)) + r"(?![\p{L}’'])"
+J_WORD = r"\p{L}+(?:[’'-]\p{L}+)*"
+J_BULLET = r"^(?:[-*•–—▪·‣◦☐☑✓+]|\d{1,3}[.)]|\(?[a-zA-Zа-я]\)|\(\d{1,3}\))\s+\S"
+J_END = r"[.!?…][»”\"')]*$"
+J_CELL = r"\t|\||;(?! |$)|,(?!\s)|(?<=\S) {2,}(?=\S)"
+J_NAV = r"[»›]|\s>\s"
+J_NOISE = r"[^\p{L}\p{N}_\s.,;:!?'’\"«»“”„()\-–—%&/@+|·•#*°º]"
+J_ITEMS = r"\s[·•]\s|;\s"
+J_STOP = r"[.!?…][»”\"')]*(?:\s+(?=[\p{Lu}«“„\"\d])|$)"
+J_HARD = r"(?i)[bcdfghjklmnpqrstvwxz]{5,}|[бвгджзклмнпрстфхцчшщ]{5,}"
+
+#: Statistics of each text; those from mean_word_length on are ratios, those that end in _chars shares of the characters by their lines.
 STATISTICS = (
-    "n_chars", "n_words", "mean_word_length", "symbol_ratio", "digit_ratio", "terminal_line_share", "common_word_share", "bullet_line_share",
-    "mean_words_per_line", "repeated_line_share", "distinct_word_share", "packed_ratio", "long_word_share", "upper_start_share", "lower_line_share", "noise_ratio",
-    "sentence_share", "entry_share", "cell_share", "odd_share",
+    "n_chars", "n_words", "n_lines", "mean_word_length", "symbol_ratio", "digit_ratio", "noise_ratio", "terminal_line_share", "common_word_share", "bullet_line_share",
+    "mean_words_per_line", "repeated_line_share", "distinct_word_share", "long_word_share", "upper_start_share", "lower_line_share", "stops_per_word", "nav_per_line", "items_per_line", "hard_word_share", "packed_token_chars",
+    "bullet_chars", "told_bullet_chars", "ended_chars", "spoken_chars", "cell_chars", "even_cell_chars", "short_chars", "noise_chars", "nav_chars", "repeated_chars", "comma_chars", "capital_chars",
 )
 
 
-def statistics(text: str) -> list[float]:
-    """The values of STATISTICS for one text; an empty or blank text has zeros."""
-    if not text or not text.strip():
-        return [0.0] * len(STATISTICS)
-    lines = [x.strip() for x in text.split("\n") if x.strip()]
-    words = _WORD.findall(text)
-    low = [w.lower() for w in words]
-    solid = sum(len(x) - x.count(" ") for x in lines) or 1
-    n, m = max(1, len(words)), len(lines)
-    raw = text.encode("utf-8", "surrogatepass")
-    kinds = line_kinds(text)
-    return [
-        float(len(text)), float(len(words)), sum(map(len, words)) / n, sum(not c.isalnum() and not c.isspace() for c in text) / solid, sum(c.isdigit() for c in text) / solid,
-        sum(bool(_END.search(x)) for x in lines) / m, sum(w in COMMON for w in low) / n, sum(bool(_BULLET.match(x)) for x in lines) / m,
-        len(words) / m, 1 - len(set(lines)) / m, len(set(low)) / n, len(zlib.compress(raw, 6)) / len(raw), sum(len(w) > 18 for w in words) / n,
-        sum(w[0].isupper() for w in words) / n, sum(x[0].islower() for x in lines) / m, len(_NOISE.findall(text)) / solid,
-        kinds.get("prose", 0.0), kinds.get("list", 0.0), kinds.get("table", 0.0), kinds.get("junk", 0.0),
-    ]
+def statistics(df: DataFrame, key: str, text: str) -> DataFrame:
+    """(key, STATISTICS...) of each row by built-in functions; null, empty and blank texts have zeros. Repeated rows stay repeated."""
+    lines = F.filter(F.transform(F.split(F.coalesce(text, F.lit("")), "\n"), lambda x: F.regexp_replace(x, r"^[\s\x{A0}]+|[\s\x{A0}]+$", "")), lambda x: x != "")
+
+    def line(x: Column) -> Column:
+        count = lambda p: F.regexp_count(x, F.lit(p))
+        return F.struct(
+            F.length(x).alias("n"), count(J_WORD).alias("words"), count(J_COMMON).alias("common"), count(J_CELL).alias("cells"), count(J_NOISE).alias("noise"), count(J_NAV).alias("nav"), count(J_ITEMS).alias("items"),
+            x.rlike(J_BULLET).alias("bullet"), x.rlike(J_END).alias("ended"), x.rlike(r"^\p{Ll}").alias("lower"), x.rlike(r"^[\p{Lu}\d]").alias("capital"), count(r",\s").alias("commas"), count(J_STOP).alias("stops"),
+            F.length(F.regexp_replace(x, r"[\p{L}\p{N}\s]", "")).alias("signs"), count(r"\d").alias("digits"), count(r"(?<![\p{L}’'-])\p{Lu}").alias("upper"), count(r"\p{L}").alias("letters"), count(J_HARD).alias("hard"),
+        )
+
+    d = df.select(F.col(key).alias("k"), F.coalesce(text, F.lit("")).alias("t"), lines.alias("x")).select("k", "t", "x", F.transform("x", line).alias("l"))
+    # One pass over the lines gives all sums; the commonest number of cells is found among lines with cells.
+    add = lambda f: F.aggregate("l", F.lit(0).cast("bigint"), lambda a, r: a + f(r))
+    whole = lambda name: add(lambda r: r.getField(name))
+    chars = lambda test: add(lambda r: F.when(test(r), r.getField("n")).otherwise(0))
+    many = lambda test: add(lambda r: F.when(test(r), 1).otherwise(0))
+    g = lambda r, name: r.getField(name)
+    usual = F.get(F.array_sort(F.transform(F.filter("l", lambda r: r.getField("cells") > 0), lambda r: r.getField("cells"))), F.floor(many(lambda r: g(r, "cells") > 0) / 2).cast("int"))
+    distinct = F.regexp_extract_all(F.lower("t"), F.lit(J_WORD), F.lit(0))
+    summed = d.select(
+        "k", F.length("t").alias("n_chars"), F.size("l").alias("m"), usual.alias("usual"), "l", F.size(F.array_distinct(distinct)).alias("distinct"),
+        F.size(F.array_distinct("x")).alias("lines_left"), F.aggregate(F.array_distinct("x"), F.lit(0).cast("bigint"), lambda a, x: a + F.length(x)).alias("chars_left"),
+        F.regexp_count("t", F.lit(r"\p{L}{19,}")).alias("long"), F.length(F.regexp_replace("t", r"(?<!\S)\S{1,40}(?!\S)|\s", "")).alias("packed"),
+        *[whole(n).alias(n) for n in ("n", "words", "common", "noise", "nav", "items", "stops", "signs", "digits", "upper", "letters", "hard")],
+        many(lambda r: g(r, "ended")).alias("ended"), many(lambda r: g(r, "bullet")).alias("bullet"), many(lambda r: g(r, "lower")).alias("lower"),
+        chars(lambda r: g(r, "bullet")).alias("c_bullet"), chars(lambda r: g(r, "bullet") & g(r, "ended") & (g(r, "words") >= 5)).alias("c_told"), chars(lambda r: g(r, "ended") & (g(r, "words") >= 4)).alias("c_ended"),
+        chars(lambda r: g(r, "common") * 8 >= g(r, "words")).alias("c_spoken"), chars(lambda r: g(r, "cells") >= 2).alias("c_cells"), chars(lambda r: (g(r, "words") <= 4) & ~g(r, "ended")).alias("c_short"),
+        chars(lambda r: g(r, "noise") * 14 > g(r, "n")).alias("c_noise"), chars(lambda r: g(r, "nav") > 0).alias("c_nav"), chars(lambda r: g(r, "commas") * 5 >= g(r, "words")).alias("c_comma"), chars(lambda r: g(r, "capital") & ~g(r, "ended")).alias("c_capital"),
+    )
+    n, words, m = F.greatest(F.col("n"), F.lit(1)), F.greatest(F.col("words"), F.lit(1)), F.greatest(F.col("m"), F.lit(1))
+    even = F.aggregate("l", F.lit(0).cast("bigint"), lambda a, r: a + F.when((r.getField("cells") > 0) & (r.getField("cells") == F.col("usual")), r.getField("n")).otherwise(0))
+    of = {
+        "n_chars": F.when(F.col("m") > 0, F.col("n_chars")).otherwise(0), "n_words": F.col("words"), "n_lines": F.col("m"), "mean_word_length": F.col("letters") / words, "symbol_ratio": F.col("signs") / n, "digit_ratio": F.col("digits") / n,
+        "noise_ratio": F.col("noise") / n, "terminal_line_share": F.col("ended") / m, "common_word_share": F.col("common") / words, "bullet_line_share": F.col("bullet") / m, "mean_words_per_line": F.col("words") / m,
+        "repeated_line_share": F.when(F.col("m") > 0, 1 - F.col("lines_left") / m).otherwise(0), "distinct_word_share": F.col("distinct") / words, "long_word_share": F.col("long") / words, "upper_start_share": F.col("upper") / words, "lower_line_share": F.col("lower") / m,
+        "stops_per_word": F.col("stops") / words, "nav_per_line": F.col("nav") / m, "items_per_line": F.col("items") / m, "hard_word_share": F.col("hard") / words, "packed_token_chars": F.col("packed") / n, "bullet_chars": F.col("c_bullet") / n, "told_bullet_chars": F.col("c_told") / n,
+        "ended_chars": F.col("c_ended") / n, "spoken_chars": F.col("c_spoken") / n, "cell_chars": F.col("c_cells") / n, "even_cell_chars": even / n, "short_chars": F.col("c_short") / n, "noise_chars": F.col("c_noise") / n, "nav_chars": F.col("c_nav") / n,
+        "repeated_chars": F.when(F.col("m") > 0, 1 - F.col("chars_left") / n).otherwise(0), "comma_chars": F.col("c_comma") / n, "capital_chars": F.col("c_capital") / n,
+    }
+    return summed.select(F.col("k").alias(key), *[of[name].cast("double").alias(name) for name in STATISTICS])
 
 
 def weak_label(text: str) -> int | None:
@@ -179,35 +226,45 @@ HOLDOUT = (
 )
 
 
-def train(texts: list[str]) -> Boosted:
-    labels = [weak_label(t) if t and t.strip() else None for t in texts]
-    known = [(statistics(t), k) for t, k in zip(texts, labels) if k is not None]
-    held = np.array([statistics(t) for _, t in HOLDOUT]), np.array([CLASSES.index(k) for k, _ in HOLDOUT])
-    if not known:
-        return Boosted().fit(*held, len(CLASSES))
-    x, y = np.array([k[0] for k in known]), np.array([k[1] for k in known])
-    return Boosted().fit(x, y, len(CLASSES)).calibrate(*held)
+#: Weight of a text checked by hand against one of the held-back part, and the part held back, in fifths.
+HAND_WEIGHT, HELD_FIFTHS = 20, 1
 
 
-def sample_texts(df: DataFrame, key: str, text: str, rows: int = SAMPLE_ROWS) -> list[str]:
-    """Whole texts of at most `rows` rows for the driver, the first by a hash of the key; longer than 20,000 characters are passed over."""
-    fit = df.where(F.col(text).isNotNull() & (F.length(F.trim(text)) > 0) & (F.length(text) <= 20_000))
-    return [r[0] for r in hash_sample(fit, df.count(), key, rows).select(text).collect()]
+def train(x: np.ndarray, y: np.ndarray, hand_x: np.ndarray, hand_y: np.ndarray) -> Boosted:
+    """Trees from the statistics and weak labels of a sample, in the order of a hash, and of the texts checked by hand."""
+    if not len(x):
+        return Boosted().fit(hand_x, hand_y, len(CLASSES))
+    held = np.arange(len(x)) % 5 < HELD_FIFTHS
+    model = Boosted(rounds=40, depth=4).fit(x[~held], y[~held], len(CLASSES))
+    return model.calibrate(np.vstack([x[held], np.repeat(hand_x, HAND_WEIGHT, axis=0)]), np.concatenate([y[held], np.repeat(hand_y, HAND_WEIGHT)]))
+
+
+def train_on(df: DataFrame, key: str, text: str, rows: int = SAMPLE_ROWS) -> Boosted:
+    """Trees from at most `rows` whole texts, the first by a hash of the key. Statistics and labels are made on the executors; the driver gets numbers only."""
+
+    @F.pandas_udf("int")
+    def weak_labels(texts: pd.Series) -> pd.Series:
+        return texts.map(lambda t: weak_label(t) if t and t.strip() else None).astype("Int32")
+
+    fit = df.where(F.col(text).isNotNull() & (F.length(F.trim(text)) > 0)).select(F.xxhash64(key).alias("__h"), F.col(text).alias("__t"))
+    few = hash_sample(fit, df.count(), "__h", rows)
+    labelled = few.select("__h", "__t", F.struct("__h", weak_labels("__t").alias("y")).alias("__k"))
+    got = statistics(labelled, "__k", "__t").select("__k.*", F.array(*STATISTICS).alias("x")).where("y is not null").orderBy("__h").collect()
+    hand = df.sparkSession.createDataFrame([(k, CLASSES.index(c), t) for k, (c, t) in enumerate(HOLDOUT)], "k int, y int, t string")
+    checked = statistics(hand.select(F.struct("k", "y").alias("k"), "t"), "k", "t").select("k.*", F.array(*STATISTICS).alias("x")).orderBy("k").collect()
+    arrays = lambda rs: (np.array([r.x for r in rs]).reshape(-1, len(STATISTICS)), np.array([r.y for r in rs], np.int64))
+    return train(*arrays(got), *arrays(checked))
 
 
 def classify(df: DataFrame, key: str, text: str, model: Boosted) -> DataFrame:
-    """(key, statistics..., text_class, probability) of each row; null, empty and blank texts have zeros and no class."""
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            stats = np.array([statistics(t) for t in batch[text]]).reshape(len(batch), len(STATISTICS))
-            p = model.probabilities(stats)
-            out = pd.DataFrame(stats, columns=list(STATISTICS))
-            out.insert(0, key, batch[key].to_numpy())
-            blank = stats[:, 0] == 0
-            out["text_class"] = np.where(blank, None, np.array(CLASSES, object)[p.argmax(1)]) if len(batch) else []
-            out["probability"] = np.where(blank, np.nan, p.max(1)) if len(batch) else []
-            yield out
-
-    fields = ", ".join(f"{s} double" for s in STATISTICS)
-    return df.select(key, text).mapInPandas(run, f"`{key}` {df.schema[key].dataType.simpleString()}, {fields}, text_class string, probability double")
+    """(key, statistics..., text_class, probability) of each row; null, empty and blank texts have zeros and no class. Only the statistics go to Python."""
+
+    @F.pandas_udf("struct<text_class:string,probability:double>")
+    def judge(x: pd.Series) -> pd.DataFrame:
+        stats = np.stack(x.to_numpy()) if len(x) else np.zeros((0, len(STATISTICS)))
+        p = model.probabilities(stats)
+        blank = stats[:, 0] == 0
+        return pd.DataFrame({"text_class": np.where(blank, None, np.array(CLASSES, object)[p.argmax(1)]), "probability": np.where(blank, np.nan, p.max(1))})
+
+    d = statistics(df, key, text).withColumn("__j", judge(F.array(*STATISTICS)))
+    return d.select(key, *STATISTICS, "__j.text_class", "__j.probability")

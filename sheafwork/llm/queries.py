@@ -108,7 +108,7 @@ def p8_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
 def p9_statistics(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Statistics, class and calibrated probability of every document."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    return quality.classify(docs, "doc_id", "text", quality.train(quality.sample_texts(docs, "doc_id", "text")))
+    return quality.classify(docs, "doc_id", "text", quality.train_on(docs, "doc_id", "text"))
 
 
 def p9_found(spark: SparkSession, sf_dir: str) -> DataFrame:
