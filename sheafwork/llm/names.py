@@ -1,12 +1,10 @@
 """Links between spellings of one person or one employer within a batch, by metric-space partitioning.
 
-Each value is reduced to a core (the surname, or the firm's own words, in plain Latin letters) and a rest. Cores live in
-the metric space of the Levenshtein distance. In each batch pivots are taken from its cores; a core belongs to the cell of
-its nearest pivot and is replicated, by the triangle inequality, to every cell whose pivot is at most twice the radius
-farther, so that an exact radius join inside the cells loses no pair. Within a cell the distances to the pivot and the lengths of
-two cores in reach differ by no more than the radius; they join as equal keys. Firms whose trade word is not known, perhaps misspelt, are
-joined in the same way to those with a trade by all their own words. Pairs of values in reach are then verified on the
-whole name: given names, initials and nicknames, or the trade and abbreviations of a firm.
+Each value is reduced to strings in plain Latin letters: the surname of a person; of a firm its own words, these with the trade, and its initials. The strings
+of one batch and one role live in the metric space of the Levenshtein distance. Pivots are taken from them; a string belongs to the cell of
+its nearest pivot and is replicated, by the triangle inequality, to every cell whose pivot is at most twice its radius
+farther, so that an exact radius join inside the cells loses no pair. Initials are joined in the same way with radius 0. Pairs of values in reach are then verified on the
+whole name: given names, initials and nicknames, or the trade and abbreviations of a firm. Pairs that only share a link are verified once more with one edit more.
 """
 
 import re
@@ -15,17 +13,15 @@ from collections.abc import Iterator
 from functools import lru_cache
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..session import cut
 from .language import plain
 from .personal import FILE_WORDS, TITLES
 
-#: Levenshtein radius of the join (a swap of neighbours costs two), and cores for each pivot of a batch.
-RADIUS, PER_PIVOT = 3, 256
-#: Radius of the join of firms with their trade word: all that two edits reach, each of them a swap.
-WHOLE_RADIUS = 4
+#: Strings for each pivot of a batch, most pivots of a batch, and strings of a batch above which they meet by shared shorter strings only.
+PER_PIVOT, MOST_PIVOTS, DENSE = 256, 16, 1024
 
 # Latin spelling of Cyrillic letters.
 CYRILLIC = dict(zip("абвгдеёжзийклмнопрстуфхцчшщъыьэюя", "a b v g d e e zh z i y k l m n o p r s t u f kh ts ch sh shch - y - e yu ya".split()))
@@ -284,100 +280,131 @@ def whole(x: tuple[str, str, str]) -> str:
 
 
 KINDS = {"person": (person, same_person), "company": (firm, same_firm)}
+#: Roles of the strings that stand for a value: its own words, all its words with the trade, and initials.
+CORE, WHOLE, SIGN = 0, 1, 2
 
 
-def cores(values: DataFrame, kind: str) -> DataFrame:
-    """(batch_id, value, core, sign, whole, traded) of distinct values; sign is the initials of a firm of three or more words, or a lone group of capitals."""
-    parse = KINDS[kind][0]
+def points(values: DataFrame) -> DataFrame:
+    """(kind, batch_id, value, a, b, c, keys) of distinct values (kind, batch_id, value); a, b, c are what person or firm gives, keys are structs (role, key, edits).
+
+    A value stands in the metric space by several strings: a person by the surname, a firm by its own words, by these with the trade, and
+    by its initials if it has three or more or is itself a lone group of capitals. edits is the radius of a string. Values that name nobody are left out.
+    """
+
+    def keys(kind: str, p: tuple[str, str, str]) -> list[tuple[int, str, int]]:
+        limit = lambda w: 1 if len(w) < 12 else 2
+        if kind == "person":
+            return [(CORE, p[0], limit(p[0]))]
+        out = [(CORE, p[0], 0 if len(p[0]) < 5 else limit(p[0]))]
+        if len(whole(p)) > 6:
+            out.append((WHOLE, whole(p), 2))
+        if 2 <= len(p[0]) <= 5 and not p[1]:
+            out.append((SIGN, p[0], 0))
+        elif len(p[2]) >= 3:
+            out.append((SIGN, p[2], 0))
+        return out
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            found = [(v, parse(v)) for v in batch["value"]]
-            rows = []
-            for v, p in found:
-                sign = None
-                if p and kind == "company":
-                    sign = p[0] if 2 <= len(p[0]) <= 5 and not p[1] else p[2] if len(p[2]) >= 2 else None
-                rows.append((p[0] if p else None, sign, whole(p) if p and kind == "company" else None, bool(p and p[1])))
-            found = pd.DataFrame(rows, columns=["core", "sign", "whole", "traded"], index=batch.index)
-            yield pd.concat([batch[["batch_id", "value"]], found], axis=1)
+            found = [(k, v, KINDS[k][0](v)) for k, v in zip(batch["kind"], batch["value"])]
+            rows = [(*p, [{"role": r, "key": w, "edits": e} for r, w, e in keys(k, p)]) if p else (None, None, None, None) for k, _, p in found]
+            yield pd.concat([batch[["kind", "batch_id", "value"]], pd.DataFrame(rows, columns=["a", "b", "c", "keys"], index=batch.index)], axis=1)
+
+    shape = "kind string, batch_id bigint, value string, a string, b string, c string, keys array<struct<role:int,key:string,edits:int>>"
+    return values.mapInPandas(run, shape).where("a is not null")
+
+
+def _variants(key: Column, edits: Column) -> Column:
+    """Hashes of a string with up to `edits` letters taken out: strings within so many edits, swaps of neighbours included, share one."""
+    drop = lambda w: F.transform(F.sequence(F.lit(1), F.length(w)), lambda i: F.concat(F.left(w, i - 1), F.substring(w, i + 1, F.length(w))))
+    once = F.when(edits > 0, F.concat(F.array(key), F.filter(drop(key), lambda w: w != ""))).otherwise(F.array(key))
+    twice = F.when(edits > 1, F.concat(once, F.flatten(F.transform(F.filter(once, lambda w: F.length(w) > 1), drop)))).otherwise(once)
+    return F.array_distinct(F.transform(twice, lambda w: F.xxhash64(w)))
 
-    return values.mapInPandas(run, "batch_id bigint, value string, core string, sign string, whole string, traded boolean").where("core is not null")
 
+def radius_pairs(keys: DataFrame, group: list[str], per_pivot: int = PER_PIVOT, dense: int = DENSE) -> DataFrame:
+    """(group..., left_key, right_key) of all distinct keys of a group within their edits of each other, the smaller first, and of each key with itself.
 
-def radius_pairs(points: DataFrame, radius: int = RADIUS, per_pivot: int = PER_PIVOT) -> DataFrame:
-    """(batch_id, left_core, right_core) of all distinct cores of a batch within the radius, also each core with itself.
+    keys: group columns, key and edits (0, 1 or 2), distinct, not null. The smaller edits of two keys count, a swap of neighbours as one; it costs two in
+    the Levenshtein distance, so all pairs are within twice the edits there, and some that need more edits come along for the caller to verify.
 
-    points: batch_id, core (distinct, not null). Pivots of a batch are its smallest cores by a hash, one for each
-    per_pivot cores begun; their number grows with the batch, so that no cell depends on a single pivot.
-    Where points also have booleans as_left and as_right, only pairs of a left and a right core are given, in this order.
+    A group's pivots are its smallest keys by a hash, one for each per_pivot keys begun, at most MOST_PIVOTS; a key belongs to the cell of its nearest pivot and
+    is replicated, by the triangle inequality, to each whose pivot is at most twice its radius farther. Cells of up to `dense` keys are joined whole; in larger ones, where
+    short strings lie too close for pivots to part them, keys meet only by a string they share when letters are taken out, so the work grows with the keys
+    and not with their pairs. Neither bound drops a pair.
     """
-    sided = "as_left" in points.columns
-    points = points if sided else points.withColumns({"as_left": F.lit(True), "as_right": F.lit(True)})
-    counted = points.groupBy("batch_id").agg(F.count("*").alias("n"))
-    # A core becomes a pivot by chance of 1 / per_pivot of the hash; a batch without any takes its smallest core.
-    chance = points.withColumn("h", F.xxhash64("core"))
-    drawn = chance.where(F.pmod("h", F.lit(per_pivot)) == 0).select("batch_id", F.col("core").alias("pivot"))
-    first = chance.groupBy("batch_id").agg(F.min_by("core", F.struct("h", "core")).alias("pivot"))
-    small = counted.where(F.col("n") <= per_pivot).select("batch_id")
-    pivots = drawn.join(small, "batch_id", "left_anti").unionByName(first.select("batch_id", "pivot")).distinct()
-    near = points.join(pivots, "batch_id").withColumn("d", F.levenshtein("core", "pivot"))
-    home = near.groupBy("batch_id", "core").agg(F.min(F.struct("d", "pivot")).alias("home"))
-    cells = near.join(home, ["batch_id", "core"]).where(F.col("d") <= F.col("home.d") + 2 * radius)
-    reach = lambda c: F.explode(F.sequence(F.greatest(c - radius, F.lit(0)), c + radius))
-    left = cells.where((F.col("pivot") == F.col("home.pivot")) & F.col("as_left")).select("batch_id", "pivot", F.col("core").alias("left_core"), F.length("core").alias("len"), "d")
-    right = cells.where("as_right").select("batch_id", "pivot", F.col("core").alias("right_core"), F.length("core").alias("size"), "d", reach(F.length("core")).alias("len"))
-    right = right.select("batch_id", "pivot", "right_core", "len", reach(F.col("d")).alias("d"))
-    pairs = left.join(right, ["batch_id", "pivot", "len", "d"]).where(F.levenshtein("left_core", "right_core", radius) >= 0)
-    if sided:
-        return pairs.select("batch_id", "left_core", "right_core").distinct()
-    return pairs.select("batch_id", F.least("left_core", "right_core").alias("left_core"), F.greatest("left_core", "right_core").alias("right_core")).distinct()
-
-
-def variant_links(rows: DataFrame, kind: str) -> DataFrame:
-    """(left_id, right_id) of rows of one batch whose different values mean the same.
-
-    rows: batch_id, id, value. Null batches and values, and values that name nobody, have no links; repeated rows count once.
+    keyed = keys.withColumns({"h": F.xxhash64("key"), "len": F.length("key")})
+    # The least key by hash of each of 64 parts of a group, so that no row grows with the group.
+    parts = keyed.groupBy(*group, F.pmod(F.shiftright("h", 8), F.lit(64)).alias("part")).agg(F.count("*").alias("n"), F.min(F.struct("h", "key")).alias("least"))
+    wanted = F.least(F.greatest(F.floor(F.sum("n") / per_pivot), F.lit(1)), F.lit(MOST_PIVOTS)).cast("int")
+    groups = parts.groupBy(*group).agg(F.transform(F.slice(F.array_sort(F.collect_list("least")), F.lit(1), wanted), lambda x: x.getField("key")).alias("pivots"), F.sum("n").alias("n"))
+    letters = F.aggregate(F.split("key", ""), F.lit(0).cast("bigint"), lambda m, ch: m.bitwiseOR(F.call_function("shiftleft", F.lit(1).cast("bigint"), F.pmod(F.ascii(ch), F.lit(63)))))
+    placed = keyed.join(groups, group).withColumn("at", F.transform("pivots", lambda q: F.struct(F.levenshtein("key", q).alias("d"), q.alias("pivot"))))
+    placed = placed.withColumns({"home": F.array_min("at"), "letters": letters})
+    near = F.filter("at", lambda x: x.getField("d") <= F.col("home.d") + 4 * F.col("edits"))
+    sub = F.when(F.col("n") > dense, _variants(F.col("key"), F.col("edits"))).otherwise(F.array(F.lit(0).cast("bigint")))
+    placed = placed.withColumn("sub", sub)
+    row = ["key", "edits", "len", "letters"]
+    left = placed.select(*group, F.explode("sub").alias("sub"), F.col("home.pivot").alias("pivot"), F.col("home.d").alias("d"), *row)
+    right = placed.select(*group, "sub", F.explode(near).alias("x"), *row).select(*group, F.explode("sub").alias("sub"), "x.pivot", "x.d", *row)
+    renamed = right.select(*group, "pivot", "sub", *[F.col(c).alias("r_" + c) for c in ("d", *row)])
+    reach = 2 * F.least("edits", "r_edits")
+    pairs = left.join(renamed, [*group, "pivot", "sub"]).where(
+        (F.abs(F.col("len") - F.col("r_len")) <= F.least("edits", "r_edits")) & (F.abs(F.col("d") - F.col("r_d")) <= reach)
+        & (F.bit_count(F.col("letters").bitwiseXOR(F.col("r_letters"))) <= reach) & F.levenshtein("key", "r_key", 4).between(F.lit(0), reach)
+    )
+    return pairs.select(*group, F.least("key", "r_key").alias("left_key"), F.greatest("key", "r_key").alias("right_key")).distinct()
+
+
+def value_links(rows: DataFrame) -> DataFrame:
+    """(kind, batch_id, left_value, right_value) of different values of one batch that mean the same, the smaller first.
+
+    rows: kind (person or company), batch_id, value. Null batches and values, and values that name nobody, have no links; repeated rows count once.
     """
-    same, parse = KINDS[kind][1], KINDS[kind][0]
-    rows = rows.where("batch_id is not null and value is not null").distinct()
-    values = cut(cores(rows.select("batch_id", "value").distinct(), kind))
-    pairs = radius_pairs(values.select("batch_id", "core").distinct())
-    left = values.select("batch_id", F.col("core").alias("left_core"), F.col("value").alias("left_value"))
-    right = values.select("batch_id", F.col("core").alias("right_core"), F.col("value").alias("right_value"))
-    both = pairs.join(left, ["batch_id", "left_core"]).join(right, ["batch_id", "right_core"]).select("batch_id", "left_value", "right_value", F.lit(False).alias("by_sign"))
-    if kind == "company":
-        # A misspelt trade word against the known one: firms without a trade and firms with one, by all their own words.
-        sides = values.groupBy("batch_id", F.col("whole").alias("core")).agg(F.bool_or(~F.col("traded")).alias("as_left"), F.bool_or("traded").alias("as_right"))
-        near = radius_pairs(sides, WHOLE_RADIUS)
-        untraded = values.where(~F.col("traded")).select("batch_id", F.col("whole").alias("left_core"), F.col("value").alias("left_value"))
-        traded = values.where("traded").select("batch_id", F.col("whole").alias("right_core"), F.col("value").alias("right_value"))
-        near = near.join(untraded, ["batch_id", "left_core"]).join(traded, ["batch_id", "right_core"])
-        both = both.unionByName(near.select("batch_id", "left_value", "right_value", F.lit(False).alias("by_sign")))
-        # A lone group of capitals against the initials of the firms of its batch.
-        alone = values.where(F.col("sign") == F.col("core")).select("batch_id", "sign", F.col("value").alias("left_value"))
-        full = values.where((F.col("sign") != F.col("core")) & (F.length("sign") >= 3)).select("batch_id", "sign", F.col("value").alias("right_value"))
-        both = both.unionByName(alone.join(full, ["batch_id", "sign"]).select("batch_id", "left_value", "right_value", F.lit(True).alias("by_sign")))
-    both = both.where("left_value != right_value").select("batch_id", F.least("left_value", "right_value").alias("left_value"), F.greatest("left_value", "right_value").alias("right_value"), "by_sign").distinct()
+    place = ["kind", "batch_id"]
+    values = cut(points(rows.where("batch_id is not null and value is not null").select(*place, "value").distinct()))
+    spread = values.select(*place, "value", "a", "b", "c", F.explode("keys").alias("k")).select(*place, "value", "a", "b", "c", "k.role", "k.key", "k.edits")
+    pairs = radius_pairs(spread.groupBy(*place, "role", "key").agg(F.max("edits").alias("edits")), [*place, "role"])
+    side = lambda name: spread.select(*place, "role", F.col("key").alias(f"{name}_key"), *[F.col(c).alias(f"{name}_{c}") for c in ("value", "a", "b", "c")])
+    both = pairs.join(side("left"), [*place, "role", "left_key"]).join(side("right"), [*place, "role", "right_key"]).where("left_value != right_value")
+    # What role the pair met by says which of the two it can be: initials stand for a lone group of capitals, the whole for a misspelt trade.
+    lone = lambda name: (F.length(f"{name}_a") <= 5) & (F.col(f"{name}_b") == "") & (F.col(f"{name}_a") == F.col(f"{name}_key"))
+    met = (F.col("role") == CORE) | ((F.col("role") == WHOLE) & ((F.col("left_b") == "") != (F.col("right_b") == ""))) | ((F.col("role") == SIGN) & (lone("left") != lone("right")))
+    both = both.where(met)
+    kept = [*place, "left_value", "left_a", "left_b", "left_c", "right_value", "right_a", "right_b", "right_c"]
+    both = both.groupBy(*kept).agg((F.max("role") == SIGN).alias("by_sign"))
+    shape = ", ".join(f"{c} {'bigint' if c == 'batch_id' else 'string'}" for c in kept)
 
     def verifier(slack: int):
         def verify(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             for batch in batches:
-                keep = [bool(sign) or same(parse(a), parse(b), slack) for a, b, sign in zip(batch["left_value"], batch["right_value"], batch["by_sign"])]
-                yield batch.loc[keep, ["batch_id", "left_value", "right_value"]]
+                lefts, rights = zip(batch["left_a"], batch["left_b"], batch["left_c"]), zip(batch["right_a"], batch["right_b"], batch["right_c"])
+                keep = [bool(sign) or KINDS[kind][1](a, b, slack) for kind, a, b, sign in zip(batch["kind"], lefts, rights, batch["by_sign"])]
+                yield batch.loc[keep, kept]
 
         return verify
 
-    shape = "batch_id bigint, left_value string, right_value string"
-    links = cut(both.mapInPandas(verifier(0), shape).distinct())
+    links = cut(both.mapInPandas(verifier(0), shape))
     # Two misspellings of one value are an edit more apart than either from the value itself: such a pair needs a common link.
-    half = links.select("batch_id", F.col("left_value").alias("hub"), F.col("right_value").alias("v"))
-    half = half.unionByName(links.select("batch_id", F.col("right_value").alias("hub"), F.col("left_value").alias("v")))
-    wide = half.join(half.select("batch_id", "hub", F.col("v").alias("w")), ["batch_id", "hub"]).where("v < w")
-    wide = wide.select("batch_id", F.col("v").alias("left_value"), F.col("w").alias("right_value")).distinct()
-    wide = wide.join(links, ["batch_id", "left_value", "right_value"], "left_anti").withColumn("by_sign", F.lit(False))
-    links = links.unionByName(wide.mapInPandas(verifier(1), shape))
-    one = rows.select("batch_id", F.col("id").alias("i"), F.col("value").alias("left_value"))
-    two = rows.select("batch_id", F.col("id").alias("j"), F.col("value").alias("right_value"))
-    joined = links.join(one, ["batch_id", "left_value"]).join(two, ["batch_id", "right_value"])
-    return joined.select(F.least("i", "j").alias("left_id"), F.greatest("i", "j").alias("right_id")).where("left_id < right_id").distinct()
+    end = lambda name, other: links.select(*place, F.col(f"{name}_value").alias("hub"), F.struct(*[F.col(f"{other}_{c}").alias(c) for c in ("value", "a", "b", "c")]).alias("v"))
+    half = end("left", "right").unionByName(end("right", "left"))
+    wide = half.join(half.select(*place, "hub", F.col("v").alias("w")), [*place, "hub"]).where("v.value < w.value")
+    wide = wide.select(*place, *[F.col(f"v.{c}").alias(f"left_{c}") for c in ("value", "a", "b", "c")], *[F.col(f"w.{c}").alias(f"right_{c}") for c in ("value", "a", "b", "c")]).distinct()
+    ordered = lambda df: df.select(*place, F.least("left_value", "right_value").alias("left_value"), F.greatest("left_value", "right_value").alias("right_value"))
+    known = ordered(links).distinct()
+    wide = wide.join(known, [*place, "left_value", "right_value"], "left_anti").withColumn("by_sign", F.lit(False))
+    return known.unionByName(ordered(wide.mapInPandas(verifier(1), shape)))
+
+
+def variant_links(rows: DataFrame, kind: str | None = None) -> DataFrame:
+    """(kind, left_id, right_id) of rows of one batch whose different values mean the same.
+
+    rows: batch_id, id, value, and kind (person or company) where it isn't given for all. Null batches and values, and values that name nobody, have no links; repeated rows count once.
+    """
+    place = ["kind", "batch_id"]
+    rows = rows.withColumn("kind", F.lit(kind)) if kind else rows
+    rows = rows.where("batch_id is not null and value is not null").distinct()
+    links = value_links(rows)
+    side = lambda name, key: rows.select(*place, F.col("id").alias(key), F.col("value").alias(f"{name}_value"))
+    joined = links.join(side("left", "i"), [*place, "left_value"]).join(side("right", "j"), [*place, "right_value"])
+    return joined.select("kind", F.least("i", "j").alias("left_id"), F.greatest("i", "j").alias("right_id")).where("left_id < right_id").distinct()

@@ -53,11 +53,19 @@ def p5_redacted(spark: SparkSession, sf_dir: str) -> DataFrame:
     return parts[0].unionByName(parts[1]).unionByName(parts[2])
 
 
+def _p6(spark: SparkSession, sf_dir: str) -> DataFrame:
+    people = table(spark, sf_dir, "candidates").select(F.lit("person").alias("kind"), "batch_id", F.col("candidate_id").alias("id"), F.col("candidate_name").alias("value"))
+    firms = table(spark, sf_dir, "experience").select(F.lit("company").alias("kind"), "batch_id", F.col("exp_id").alias("id"), F.col("company").alias("value"))
+    return people.unionByName(firms)
+
+
 def p6_found(spark: SparkSession, sf_dir: str) -> DataFrame:
-    people = table(spark, sf_dir, "candidates").select("batch_id", F.col("candidate_id").alias("id"), F.col("candidate_name").alias("value"))
-    firms = table(spark, sf_dir, "experience").select("batch_id", F.col("exp_id").alias("id"), F.col("company").alias("value"))
-    parts = [names.variant_links(rows, kind).select(F.lit(kind).alias("entity_kind"), "left_id", "right_id") for kind, rows in (("person", people), ("company", firms))]
-    return parts[0].unionByName(parts[1])
+    return names.variant_links(_p6(spark, sf_dir)).withColumnRenamed("kind", "entity_kind")
+
+
+def p6_values(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same links between distinct values of a batch, not expanded to rows."""
+    return names.value_links(_p6(spark, sf_dir)).withColumnRenamed("kind", "entity_kind")
 
 
 def p7_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -115,5 +123,5 @@ def p9_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return p9_statistics(spark, sf_dir).where("text_class != 'prose'").select("doc_id", "text_class")
 
 
-QUERIES = {"p2_found": p2_found, "p2_languages": p2_languages, "p3_found": p3_found, "p4_found": p4_found, "p5_found": p5_found, "p5_redacted": p5_redacted, "p6_found": p6_found, "p7_ids": p7_ids, "p8_mix": p8_mix, "p8_shares": p8_shares, "p9_found": p9_found, "p9_statistics": p9_statistics}
+QUERIES = {"p2_found": p2_found, "p2_languages": p2_languages, "p3_found": p3_found, "p4_found": p4_found, "p5_found": p5_found, "p5_redacted": p5_redacted, "p6_found": p6_found, "p6_values": p6_values, "p7_ids": p7_ids, "p8_mix": p8_mix, "p8_shares": p8_shares, "p9_found": p9_found, "p9_statistics": p9_statistics}
 ORACLES: dict[str, str] = {}
