@@ -371,29 +371,33 @@ def value_links(rows: DataFrame) -> DataFrame:
     lone = lambda name: (F.length(f"{name}_a") <= 5) & (F.col(f"{name}_b") == "") & (F.col(f"{name}_a") == F.col(f"{name}_key"))
     met = (F.col("role") == CORE) | ((F.col("role") == WHOLE) & ((F.col("left_b") == "") != (F.col("right_b") == ""))) | ((F.col("role") == SIGN) & (lone("left") != lone("right")))
     both = both.where(met)
-    kept = [*place, "left_value", "left_a", "left_b", "left_c", "right_value", "right_a", "right_b", "right_c"]
-    both = both.groupBy(*kept).agg((F.max("role") == SIGN).alias("by_sign"))
-    shape = ", ".join(f"{c} {'bigint' if c == 'batch_id' else 'string'}" for c in kept)
+    told = [*place, "left_value", "right_value"]
+    shape = "kind string, batch_id bigint, left_value string, right_value string"
 
-    def verifier(slack: int):
-        def verify(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-            for batch in batches:
-                lefts, rights = zip(batch["left_a"], batch["left_b"], batch["left_c"]), zip(batch["right_a"], batch["right_b"], batch["right_c"])
-                keep = [bool(sign) or KINDS[kind][1](a, b, slack) for kind, a, b, sign in zip(batch["kind"], lefts, rights, batch["by_sign"])]
-                yield batch.loc[keep, kept]
+    def verify(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            lefts, rights = zip(batch["left_a"], batch["left_b"], batch["left_c"]), zip(batch["right_a"], batch["right_b"], batch["right_c"])
+            keep = [role == SIGN or KINDS[kind][1](a, b) for kind, a, b, role in zip(batch["kind"], lefts, rights, batch["role"])]
+            yield batch.loc[keep, told]
 
-        return verify
+    def verify_wide(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            keep = [KINDS[kind][1](_parsed(kind, a), _parsed(kind, b), 1) for kind, a, b in zip(batch["kind"], batch["left_value"], batch["right_value"])]
+            yield batch.loc[keep, told]
 
-    links = cut(both.mapInPandas(verifier(0), shape))
-    # Two misspellings of one value are an edit more apart than either from the value itself: such a pair needs a common link.
-    end = lambda name, other: links.select(*place, F.col(f"{name}_value").alias("hub"), F.struct(*[F.col(f"{other}_{c}").alias(c) for c in ("value", "a", "b", "c")]).alias("v"))
-    half = end("left", "right").unionByName(end("right", "left"))
-    wide = half.join(half.select(*place, "hub", F.col("v").alias("w")), [*place, "hub"]).where("v.value < w.value")
-    wide = wide.select(*place, *[F.col(f"v.{c}").alias(f"left_{c}") for c in ("value", "a", "b", "c")], *[F.col(f"w.{c}").alias(f"right_{c}") for c in ("value", "a", "b", "c")]).distinct()
     ordered = lambda df: df.select(*place, F.least("left_value", "right_value").alias("left_value"), F.greatest("left_value", "right_value").alias("right_value"))
-    known = ordered(links).distinct()
-    wide = wide.join(known, [*place, "left_value", "right_value"], "left_anti").withColumn("by_sign", F.lit(False))
-    return known.unionByName(ordered(wide.mapInPandas(verifier(1), shape)))
+    # A pair may meet by several roles.
+    links = cut(ordered(both.mapInPandas(verify, shape)).distinct())
+    # Two misspellings of one value are an edit more apart than either from the value itself: such a pair needs a common link.
+    half = links.select(*place, F.col("left_value").alias("hub"), F.col("right_value").alias("v")).unionByName(links.select(*place, F.col("right_value").alias("hub"), F.col("left_value").alias("v")))
+    wide = half.join(half.withColumnRenamed("v", "w"), [*place, "hub"]).where("v < w").select(*place, F.col("v").alias("left_value"), F.col("w").alias("right_value")).distinct()
+    wide = wide.join(links, told, "left_anti")
+    return links.unionByName(wide.mapInPandas(verify_wide, shape))
+
+
+@lru_cache(100_000)
+def _parsed(kind: str, value: str) -> tuple[str, str, str]:
+    return KINDS[kind][0](value)
 
 
 def variant_links(rows: DataFrame, kind: str | None = None) -> DataFrame:
@@ -403,7 +407,7 @@ def variant_links(rows: DataFrame, kind: str | None = None) -> DataFrame:
     """
     place = ["kind", "batch_id"]
     rows = rows.withColumn("kind", F.lit(kind)) if kind else rows
-    rows = rows.where("batch_id is not null and value is not null").distinct()
+    rows = rows.where("batch_id is not null and value is not null")
     links = value_links(rows)
     side = lambda name, key: rows.select(*place, F.col("id").alias(key), F.col("value").alias(f"{name}_value"))
     joined = links.join(side("left", "i"), [*place, "left_value"]).join(side("right", "j"), [*place, "right_value"])
