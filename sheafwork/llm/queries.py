@@ -8,14 +8,24 @@ from . import bpe, canonical, language, lookalike, mixing, names, personal, qual
 from .sampling import hash_sample
 
 
-def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+def _p4(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     skills = table(spark, sf_dir, "job_skills")
     missing = table(spark, sf_dir, "candidates").select("candidate_id", F.posexplode("missing_required").alias("p", "value"))
     cells = missing.select(F.lit("missing_required").alias("field"), F.col("candidate_id").alias("record_id"), (F.col("p") + 1).cast("int").alias("pos"), "value")
     for field in ("raw_phrase", "canonical"):
         cells = cells.unionByName(skills.select(F.lit(field).alias("field"), F.col("job_id").alias("record_id"), F.col("skill_no").cast("int").alias("pos"), F.col(field).alias("value")))
     reference = table(spark, sf_dir, "skill_reference").select(F.col("skill_id").alias("id"), F.col("canonical").alias("name"), "aliases")
-    return canonical.map_field_values(cells, reference)
+    return cells, reference
+
+
+def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return canonical.map_field_values(*_p4(spark, sf_dir))
+
+
+def p4_values(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each distinct value with the entry it means and the number of entries that are equally near."""
+    cells, reference = _p4(spark, sf_dir)
+    return canonical.map_values(cells.select("value"), reference)
 
 
 P5_FIELDS = (("plain_text", "extractions", "extraction_id", False), ("candidate_name", "candidates", "candidate_id", True), ("email", "candidates", "candidate_id", True))
@@ -123,5 +133,5 @@ def p9_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return p9_statistics(spark, sf_dir).where("text_class != 'prose'").select("doc_id", "text_class")
 
 
-QUERIES = {"p2_found": p2_found, "p2_languages": p2_languages, "p3_found": p3_found, "p4_found": p4_found, "p5_found": p5_found, "p5_redacted": p5_redacted, "p6_found": p6_found, "p6_values": p6_values, "p7_ids": p7_ids, "p8_mix": p8_mix, "p8_shares": p8_shares, "p9_found": p9_found, "p9_statistics": p9_statistics}
+QUERIES = {"p2_found": p2_found, "p2_languages": p2_languages, "p3_found": p3_found, "p4_found": p4_found, "p4_values": p4_values, "p5_found": p5_found, "p5_redacted": p5_redacted, "p6_found": p6_found, "p6_values": p6_values, "p7_ids": p7_ids, "p8_mix": p8_mix, "p8_shares": p8_shares, "p9_found": p9_found, "p9_statistics": p9_statistics}
 ORACLES: dict[str, str] = {}

@@ -22,7 +22,7 @@ def test_cases(spark):
     }
     ref = spark.createDataFrame(REF, "id int, name string, aliases array<string>")
     df = spark.createDataFrame([(v,) for v in [*cases, *cases, None]], "value string").selectExpr("*", "1 as id", "'k' as key")
-    got = [tuple(r) for r in C.map_values(df.select("value"), ref).collect()]
+    got = [tuple(r)[:2] for r in C.map_values(df.select("value"), ref).collect()]
     assert len(got) == len(cases) and dict(got) == cases
 
 
@@ -48,3 +48,13 @@ def test_cells_and_empty(spark):
     cells = spark.createDataFrame([("f", 1, 1, "First aid"), ("f", 1, 2, "first aid"), ("f", 1, 2, "first aid"), ("f", 2, 1, None), ("f", 3, 1, "zzz")], "field string, record_id bigint, pos int, value string")
     assert sorted(map(tuple, C.map_field_values(cells, ref).collect())) == [("f", 1, 2, 4), ("f", 3, 1, 0)]
     assert C.map_field_values(cells.limit(0), ref).collect() == []
+
+
+def test_word_orders_of_any_length(spark):
+    ref = spark.createDataFrame([(1, "one two three four five", None), (2, "red green blue", ["seven eight nine ten eleven twelve"]), (3, "big big dog", None), (4, "red green blue", None)], "id int, name string, aliases array<string>")
+    cases = {
+        "two one three four five": (1, 1), "five four three two one": (1, 1), "two ome three fuor five": (1, 1), "blue red green": (2, 2), "green red blue": (2, 2), "gren red blue": (2, 2), "nine seven twelve eight eleven ten": (2, 1),
+        "dog big big": (3, 1), "dog dog big": (3, 1), "cat dog big": (0, 0), "two one three four six": (0, 0), "bleu red gren": (2, 2), "": (0, 0),
+    }
+    got = {r.value: (r.skill_id, r.n_entries) for r in C.map_values(spark.createDataFrame([(v,) for v in cases], "value string"), ref).collect()}
+    assert got == cases
