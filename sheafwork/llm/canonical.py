@@ -99,17 +99,17 @@ def map_values(values: DataFrame, reference: DataFrame) -> DataFrame:
     segments = cut(segments)
     # With d = length of the value - L, an unchanged segment moves by at most (k - d) / 2 to the left and (k + d) / 2 to the right.
     candidates = spark.sql(
-        """
-        WITH layout AS (SELECT DISTINCT len, k, seg, at, n FROM {s}),
+        f"""
+        WITH layout AS (SELECT DISTINCT len, k, seg, at, n FROM {{s}}),
         probes AS (
           SELECT DISTINCT o.key, l.len, l.seg, substring(o.key, p + 1, l.n) AS piece
-          FROM (SELECT DISTINCT key, explode(sequence(greatest(length(key) - 4, 1), length(key) + 4)) AS len FROM {o}) o
+          FROM (SELECT DISTINCT key, explode(sequence(greatest(length(key) - 4, 1), length(key) + 4)) AS len FROM {{o}}) o
           JOIN layout l ON o.len = l.len
           LATERAL VIEW explode(sequence(l.at - l.k, l.at + l.k)) AS p
           WHERE abs(length(o.key) - l.len) <= l.k AND p >= 0 AND p + l.n <= length(o.key)
             AND p - l.at BETWEEN -floor((l.k - (length(o.key) - l.len)) / 2) AND floor((l.k + (length(o.key) - l.len)) / 2)
         )
-        SELECT DISTINCT p.key, s.ref, s.k FROM probes p JOIN {s} s ON p.len = s.len AND p.seg = s.seg AND p.piece = s.piece
+        SELECT /*+ REPARTITION({parts}, key, ref) */ DISTINCT p.key, s.ref, s.k FROM probes p JOIN {{s}} s ON p.len = s.len AND p.seg = s.seg AND p.piece = s.piece
         """,
         s=segments,
         o=open_keys,
