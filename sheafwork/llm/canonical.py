@@ -70,7 +70,7 @@ def map_values(values: DataFrame, reference: DataFrame) -> DataFrame:
     equal = cut(equal)
     # Spread by the key over all tasks: each row becomes many probes below.
     parts = max(8, spark.sparkContext.defaultParallelism)
-    open_keys = spark.sql(f"SELECT /*+ REPARTITION({parts}, key) */ key, plain, cut FROM {{e}} WHERE ids IS NULL AND key != '' GROUP BY key, plain, cut", e=equal)
+    open_keys = spark.sql("SELECT key, plain, cut FROM {e} WHERE ids IS NULL AND key != '' GROUP BY key, plain, cut", e=equal)
     # A word cut short by a full stop: each word of a form cut to each length, compared by equality.
     cut_forms = spark.sql(
         f"""
@@ -84,7 +84,7 @@ def map_values(values: DataFrame, reference: DataFrame) -> DataFrame:
         """,
         ref=reference,
     )
-    open_keys = cut(open_keys)
+    open_keys = cut(open_keys.repartition(parts, "key"))
     shortened = spark.sql("SELECT DISTINCT o.key, p.ids FROM {o} o JOIN {p} p ON o.key = p.key WHERE o.cut", o=open_keys, p=cut_forms)
     segments = spark.sql(
         f"""
@@ -103,17 +103,17 @@ def map_values(values: DataFrame, reference: DataFrame) -> DataFrame:
         WITH layout AS (SELECT DISTINCT len, k, seg, at, n FROM {{s}}),
         probes AS (
           SELECT DISTINCT o.key, l.len, l.seg, substring(o.key, p + 1, l.n) AS piece
-          FROM (SELECT DISTINCT key, explode(sequence(greatest(length(key) - 4, 1), length(key) + 4)) AS len FROM {{o}}) o
+          FROM (SELECT key, explode(sequence(greatest(length(key) - 4, 1), length(key) + 4)) AS len FROM {{o}}) o
           JOIN layout l ON o.len = l.len
           LATERAL VIEW explode(sequence(l.at - l.k, l.at + l.k)) AS p
           WHERE abs(length(o.key) - l.len) <= l.k AND p >= 0 AND p + l.n <= length(o.key)
             AND p - l.at BETWEEN -floor((l.k - (length(o.key) - l.len)) / 2) AND floor((l.k + (length(o.key) - l.len)) / 2)
         )
-        SELECT /*+ REPARTITION({parts}, key, ref) */ DISTINCT p.key, s.ref, s.k FROM probes p JOIN {{s}} s ON p.len = s.len AND p.seg = s.seg AND p.piece = s.piece
+        SELECT DISTINCT p.key, s.ref, s.k FROM probes p JOIN {{s}} s ON p.len = s.len AND p.seg = s.seg AND p.piece = s.piece
         """,
         s=segments,
         o=open_keys,
-    )
+    ).repartition(parts, "key", "ref")
     # Words in another order: a shared word finds the form, and the words left over are compared, in either order where two are left.
     worded = spark.sql(
         f"""
