@@ -17,6 +17,8 @@ from ..session import cut
 
 #: Blocks of a source's pass (a bound on what the driver holds of a source), and output shards.
 BLOCKS, SHARDS, SEED = 2048, 16, 17
+#: Documents of the last part of a source that are cut one by one in one task, and levels of parts (the last holds a source's share of one in BLOCKS to their number).
+EDGE_DOCS, MOST_LEVELS = 20_000, 4
 
 
 def split_counts(counts: np.ndarray, shards: int, rng: np.random.Generator) -> np.ndarray:
@@ -89,15 +91,46 @@ def mix(docs: DataFrame, targets: DataFrame, key: str, source: str, size: str, b
             begin[s] += int(counts[shard, j])
     spark = docs.sparkSession
     uses = spark.createDataFrame(chosen, "s string, b int, pass_no int, shard int")
-    ends = spark.createDataFrame(partial, "s string, b int, pass_no int, room bigint")
-    used = own.join(uses, ["s", "b"]).join(ends, ["s", "b", "pass_no"], "left")
-    # Only the one block of each source at the end of its quota is cut by documents.
-    whole = used.where("room is null").select("k", "s", "n", "pass_no", "shard")
-    edge = used.where("room is not null")
-    fits = F.sum("n").over(Window.partitionBy("s", "b", "pass_no").orderBy(F.xxhash64("k", F.lit(seed + 1)), "k").rowsBetween(Window.unboundedPreceding, 0))
-    edge = edge.withColumn("sum", fits).where("sum <= room").select("k", "s", "n", "pass_no", "shard")
-    mixed = whole.unionByName(edge)
-    return mixed.select(F.col("k").alias(key), F.col("s").alias(source), F.col("n").alias(size), "pass_no", "shard", F.xxhash64("k", "pass_no", F.lit(seed + 2)).alias("place"))
+    shard_of = {(s, b, p): shard for s, b, p, shard in chosen}
+    whole = own.join(uses, ["s", "b"])
+    if partial:
+        whole = whole.join(spark.createDataFrame([x[:3] for x in partial], "s string, b int, pass_no int"), ["s", "b", "pass_no"], "left_anti")
+    mixed = whole.select("k", "s", "n", "pass_no", "shard")
+    # Only the one block of each source at the end of its quota is cut. It is divided again by a further hash, whole parts are taken while they fit,
+    # and the next part goes on, until a part is small enough to be cut by documents in one task.
+    open_ends, level = [(s, b, p, room, shard_of[s, b, p]) for s, b, p, room in partial], 0
+    rest = own.withColumn("path", F.col("b").cast("string"))
+    open_ends = [(s, str(b), p, room, shard) for s, b, p, room, shard in open_ends]
+    while open_ends:
+        level += 1
+        ends = spark.createDataFrame(open_ends, "s string, path string, pass_no int, room bigint, shard int")
+        rest = rest.join(ends, ["s", "path"]).withColumn("part", F.pmod(F.xxhash64("k", F.lit(seed + 10 * level)), F.lit(blocks)).cast("int"))
+        parts = rest.groupBy("s", "path", "pass_no", "part").agg(F.sum("n").alias("n"), F.count("*").alias("docs")).collect()
+        taken, following = [], []
+        for s, path, p, room, shard in open_ends:
+            mine = {r.part: (r.n, r.docs) for r in parts if r.s == s and r.path == path and r.pass_no == p}
+            for part in [sorted(mine)[i] for i in rng.permutation(len(mine))]:
+                size_, docs_ = mine[part]
+                if size_ <= room:
+                    taken.append((s, path, p, part, None))
+                    room -= size_
+                    continue
+                if docs_ <= EDGE_DOCS or level == MOST_LEVELS:
+                    taken.append((s, path, p, part, room))
+                else:
+                    following.append((s, f"{path}/{part}", p, room, shard))
+                break
+        if taken:
+            picked = rest.drop("room").join(spark.createDataFrame(taken, "s string, path string, pass_no int, part int, room bigint"), ["s", "path", "pass_no", "part"])
+            fits = F.sum("n").over(Window.partitionBy("s", "path", "pass_no", "part").orderBy(F.xxhash64("k", F.lit(seed + 1)), "k").rowsBetween(Window.unboundedPreceding, 0))
+            mixed = mixed.unionByName(picked.where("room is null").select("k", "s", "n", "pass_no", "shard"))
+            mixed = mixed.unionByName(picked.where("room is not null").withColumn("sum", fits).where("sum <= room").select("k", "s", "n", "pass_no", "shard"))
+        rest = rest.select("k", "s", "n", F.concat_ws("/", "path", "part").alias("path"))
+        open_ends = following
+    mixed = mixed.withColumn("place", F.xxhash64("k", "pass_no", F.lit(seed + 2)))
+    # The shuffle inside each shard: its rows lie in the order of place, spread over as many tasks as they need.
+    mixed = cut(mixed).repartitionByRange("shard", "place").sortWithinPartitions("shard", "place")
+    return mixed.select(F.col("k").alias(key), F.col("s").alias(source), F.col("n").alias(size), "pass_no", "shard", "place")
 
 
 def shares(mixed: DataFrame, targets: DataFrame, source: str, size: str) -> DataFrame:

@@ -83,6 +83,12 @@ def p7_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.encode_column(docs, "text").select("doc_id", "ids")
 
 
+def p7_decoded(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Digest of each document's text as read back from its ids: encoding and decoding lose nothing."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return bpe.decode_column(bpe.encode_column(docs, "text"), "ids", "back").select("doc_id", F.md5("back").alias("digest"))
+
+
 def p2_languages(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Language and confidence of every text (para_no 0) and every prose paragraph of extractions and vacancies."""
     texts = table(spark, sf_dir, "extractions").select("extraction_id", "plain_text", "declared_lang")
@@ -133,5 +139,5 @@ def p9_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return p9_statistics(spark, sf_dir).where("text_class != 'prose'").select("doc_id", "text_class")
 
 
-QUERIES = {"p2_found": p2_found, "p2_languages": p2_languages, "p3_found": p3_found, "p4_found": p4_found, "p4_values": p4_values, "p5_found": p5_found, "p5_redacted": p5_redacted, "p6_found": p6_found, "p6_values": p6_values, "p7_ids": p7_ids, "p8_mix": p8_mix, "p8_shares": p8_shares, "p9_found": p9_found, "p9_statistics": p9_statistics}
-ORACLES: dict[str, str] = {}
+QUERIES = {"p2_found": p2_found, "p2_languages": p2_languages, "p3_found": p3_found, "p4_found": p4_found, "p4_values": p4_values, "p5_found": p5_found, "p5_redacted": p5_redacted, "p6_found": p6_found, "p6_values": p6_values, "p7_ids": p7_ids, "p7_decoded": p7_decoded, "p8_mix": p8_mix, "p8_shares": p8_shares, "p9_found": p9_found, "p9_statistics": p9_statistics}
+ORACLES: dict[str, str] = {"p7_decoded": "SELECT doc_id, md5(coalesce(text, '')) AS digest FROM documents"}

@@ -34,3 +34,20 @@ def test_empty(spark):
     targets = spark.createDataFrame([("big", 0.7, 1)], "source_name string, target_share double, max_repeats int")
     assert M.mix(df, targets, "doc_id", "source", "n").collect() == []
     assert M.mix(df, targets.limit(0), "doc_id", "source", "n").collect() == []
+
+
+def test_the_edge_block_is_divided_until_it_is_small(spark, monkeypatch):
+    docs = [(i, "a" if i % 3 else "b", 1 + i % 7) for i in range(4000)]
+    df = spark.createDataFrame(docs, "doc_id bigint, source string, n bigint")
+    targets = spark.createDataFrame([("a", 0.5, 1), ("b", 0.5, 1)], "source_name string, target_share double, max_repeats int")
+    monkeypatch.setattr(M, "EDGE_DOCS", 1)
+    rows = M.mix(df, targets, "doc_id", "source", "n", blocks=4, shards=2).collect()
+    least = min(sum(n for _, s, n in docs if s == x) for x in "ab")
+    for x in "ab":
+        got = sum(r.n for r in rows if r.source == x)
+        assert least - 7 * 4 <= got <= least
+    assert len({r.doc_id for r in rows}) == len(rows)
+    by_shard = {}
+    for r in rows:
+        by_shard.setdefault(r.shard, []).append(r.place)
+    assert all(p == sorted(p) for p in by_shard.values()) and len(by_shard) == 2
