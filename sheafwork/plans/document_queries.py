@@ -280,22 +280,6 @@ def vacancy_items(spark, sf_dir):
     return P.vacancy_items(table(spark, sf_dir, "job_descriptions").select("job_id", "plain_text").distinct(), "job_id", "plain_text")
 
 
-def _outcomes(spark, sf_dir):
-    x = table(spark, sf_dir, "extractions").select("extraction_id", "plain_text", "has_text_layer", "has_problematic_glyphs")
-    return R.evaluate(R.facts(x, "extraction_id", "plain_text", R.WEAK_OPENINGS, R.CLICHES), "extraction_id")
-
-
-@query()
-def rule_findings(spark, sf_dir):
-    return R.findings(_outcomes(spark, sf_dir), "extraction_id")
-
-
-@query()
-def document_scores(spark, sf_dir):
-    s = R.scores(_outcomes(spark, sf_dir), "extraction_id")
-    return s.withColumn("band", S.band(F.col("overall"))).drop("keywords", "narrative", "international")
-
-
 @query(
     r"""SELECT extraction_id, array_to_string(list_filter(['ﬀ', 'ﬁ', 'ﬂ', 'ﬃ', 'ﬄ', 'ﬅ', 'ﬆ', chr(65533)], lambda g: contains(plain_text, g)) || CASE WHEN regexp_matches(plain_text, '[\x{E000}-\x{F8FF}]') THEN ['private-use-area'] ELSE [] END, '|') AS glyphs
     FROM extractions WHERE plain_text IS NOT NULL"""

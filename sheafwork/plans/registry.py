@@ -4,9 +4,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import document_queries, problems, text_queries
+from . import document_queries, problems, resume_queries, text_queries
 
-MODULES = (problems, text_queries, document_queries)
+MODULES = (problems, text_queries, document_queries, resume_queries)
 
 
 def _merged(attribute: str) -> dict:
@@ -29,4 +29,4 @@ def oracles() -> dict[str, str]:
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every extraction scored by the rules, worst first."""
-    return document_queries.document_scores(spark, sf_dir).orderBy("overall", "extraction_id")
+    return resume_queries.document_scores(spark, sf_dir).orderBy("overall", "extraction_id")

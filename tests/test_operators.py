@@ -76,11 +76,27 @@ def test_rules_and_scores(docs):
         R.Rule("x")
 
 
+TABLES = {
+    "experience": "exp_id bigint, candidate_id bigint, batch_id bigint, company string, job_title string, confidence double, start_year int, start_month int, end_year int, end_month int, is_current boolean, date_format string",
+    "batches": "batch_id bigint, job_id bigint, screened_at timestamp",
+    "candidates": "candidate_id bigint, batch_id bigint",
+    "job_descriptions": "job_id bigint, job_title string, seniority string, plain_text string",
+    "job_skills": "job_id bigint, canonical string, is_required boolean",
+}
+
+
+def write_tables(spark, folder, texts, **rows):
+    """The tables of the document pipeline: texts as extractions 0, 1, ..., the others as given or empty."""
+    shape = "extraction_id bigint, candidate_id bigint, plain_text string, has_text_layer boolean, has_problematic_glyphs boolean, page_count int"
+    spark.createDataFrame([(i, i, t, True, False, 1) for i, t in enumerate(texts)], shape).write.parquet(str(folder / "extractions.parquet"))
+    for name, ddl in TABLES.items():
+        spark.createDataFrame(rows.get(name, []), ddl).write.parquet(str(folder / f"{name}.parquet"))
+
+
 def test_rules_use_the_whole_dictionaries(spark, tmp_path):
     assert (len(R.WEAK_OPENINGS), len(R.CLICHES)) == (35, 41)
     texts = ["- Responsible for 3 depots\n- Prepared 4 lists\nA team player", "- Участвовал в 2 проектах\nКоммуникабельный, hard–working", "- Подготовил 5 отчётов\nMy task was clear"]
-    rows = [(i, t, True, False) for i, t in enumerate(texts)]
-    spark.createDataFrame(rows, "extraction_id bigint, plain_text string, has_text_layer boolean, has_problematic_glyphs boolean").write.parquet(str(tmp_path / "extractions.parquet"))
+    write_tables(spark, tmp_path, texts)
     found = {(r.extraction_id, r.rule_id): r.penalty for r in registry.queries()["rule_findings"](spark, str(tmp_path)).collect()}
     own = {k: v for k, v in found.items() if k[1] in ("weak-bullet-openings", "cliches")}
     assert own == {(0, "weak-bullet-openings"): 30, (0, "cliches"): 4, (1, "weak-bullet-openings"): 30, (1, "cliches"): 8}
@@ -193,3 +209,59 @@ def test_scores_of_a_stream_equal_the_batch(spark, docs, tmp_path):
 
 def test_registry_without_text_subpackage():
     assert "p1_found" in registry.queries() and set(registry.oracles()) <= set(registry.queries())
+
+
+STRONG = """Nora Feldway
+Senior Software Engineer
+nora.feldway@example.org | +44 7700 900123 | https://github.com/nfeldway | https://linkedin.com/in/nfeldway
+Open to relocation
+
+Summary
+Engineer who cut the cost of payments by 30% for two banks and led a team of 12 people through a rebuild of the ledger.
+
+Experience
+Senior Engineer, Ledger Bank, 2020-01 - present
+- Reduced settlement time by 45% for 3 markets
+- Built 14 services in Kotlin
+- Led 12 engineers across 2 offices
+Engineer, Payport Group, 2016-02 - 2019-12
+- Improved throughput from 200 to 900 orders
+- Launched 5 products in 4 countries
+- Automated 80% of the tests
+
+Education
+Rosten University, Bachelor of Science, 2012 - 2016
+
+Skills
+Kotlin, SQL, Kafka
+
+Languages
+English - C1"""
+WEAK = """Виктор Петрович
+тел 8 900 000 47 83, дата рождения 01.02.1980, женат
+ответственный, коммуникабельный, hard worker
+- занимался отчётами
+- отвечал за склад
+- помогал коллегам
+* работал с клиентами"""
+
+
+def test_a_strong_document_beats_a_weak_one(spark, tmp_path):
+    roles = [(1, 0, 1, "Ledger Bank", "Senior Engineer", 0.95, 2020, 1, None, None, True, "iso"), (2, 0, 1, "Payport Group", "Engineer", 0.95, 2016, 2, 2019, 12, False, "iso")]
+    import datetime
+
+    more = {"experience": roles, "batches": [(1, 7, datetime.datetime(2024, 5, 1))], "candidates": [(0, 1), (1, 1)]}
+    more |= {"job_descriptions": [(7, "Senior Software Engineer", "senior", "We look for a senior engineer who knows Kotlin and Kafka well.")], "job_skills": [(7, "Kotlin", True), (7, "Rust", True), (7, "Kafka", False)]}
+    write_tables(spark, tmp_path, [STRONG, WEAK, None, ""], **more)
+    q = registry.queries()
+    scores = {r.extraction_id: r for r in q["document_scores"](spark, str(tmp_path)).collect()}
+    assert scores[0].overall > scores[1].overall + 20 and scores[0].overall > 60 and scores[1].overall < 65 and len(scores) == 4
+    found = {(r.extraction_id, r.rule_id) for r in q["rule_findings"](spark, str(tmp_path)).collect()}
+    assert {(0, "missing-required-skills"), (1, "protected-personal-data"), (1, "cliches"), (1, "weak-bullet-openings"), (1, "missing-contact-email")} <= found
+    assert not {(0, "missing-contact-email"), (0, "title-mismatch"), (0, "missing-candidate-name"), (0, "missing-professional-links"), (0, "missing-nice-to-have-skills"), (0, "seniority-below-vacancy")} & found
+    contact = {r.extraction_id: r for r in q["contact_blocks"](spark, str(tmp_path)).collect()}[0]
+    assert (contact.name, contact.email, contact.headline, contact.link_kinds) == ("Nora Feldway", "nora.feldway@example.org", "Senior Software Engineer", "github|linkedin") and contact.phone.startswith("+44") and contact.location == "Open to relocation"
+    kinds = [r.kind for r in q["section_map"](spark, str(tmp_path)).where("extraction_id = 0").orderBy("section_no").collect()]
+    assert kinds == ["contacts", "summary", "experience", "education", "skills", "languages"]
+    career = q["career_metrics"](spark, str(tmp_path)).collect()[0]
+    assert (career.jobs, career.total_months, career.gaps, career.inversions, career.seniority, career.progression) == (2, 47 + 53, 0, 0, "senior", "unclear")
