@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..operators import rulebook, rules, screening
 from ..session import table
+from . import resume_parsers as parsers
 from . import resume_plan as plan
 from .dialect import OTHER, SPARK
 
@@ -38,6 +39,21 @@ planned("contact_blocks", plan.contact_rows)
 planned("contact_links", plan.link_rows)
 planned("career_metrics", plan.career_rows)
 planned("document_facts", plan.fact_rows)
+planned("role_headers", parsers.entries)
+planned("undated_roles", parsers.undated_entries)
+planned("education_entries", parsers.education)
+planned("certificates", parsers.certificates)
+planned("spoken_languages", parsers.languages)
+planned("projects", parsers.projects)
+planned("listed_skills", parsers.skills)
+planned("vacancy_lines", parsers.vacancy_lines)
+planned("vacancy_profiles", parsers.vacancy_profiles)
+planned("vacancy_skills", parsers.vacancy_skills)
+planned("opening_words", parsers.openings)
+planned("section_coverage", parsers.coverage)
+planned("found_date_ranges", parsers.found_ranges)
+planned("parse_accuracy", parsers.accuracy)
+planned("sorted_candidates", parsers.windows_by_key)
 
 
 def _outcomes(spark: SparkSession, sf_dir: str) -> DataFrame:

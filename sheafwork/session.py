@@ -27,11 +27,13 @@ def local_session(cores: str = "8", partitions: int = 8, **conf: str) -> SparkSe
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> None:
-    """Use the folder named in spark.checkpoint.dir; only where it is unset (tests) take a temporary one."""
+    """Use the folder named in spark.checkpoint.dir; only where it is unset and all runs on one machine (tests) take a temporary one."""
     jsc = spark.sparkContext._jsc.sc()
     if jsc.getCheckpointDir().isDefined():
         return
     shared = spark.conf.get("spark.checkpoint.dir", None)
+    if not shared and not spark.sparkContext.master.startswith("local"):
+        raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
     spark.sparkContext.setCheckpointDir(shared or tempfile.mkdtemp(prefix="sheafwork-ckpt-"))
 
 
@@ -54,4 +56,10 @@ def ship(spark: SparkSession) -> None:
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     ship(spark)
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    return spread(spark.read.parquet(f"{sf_dir}/{name}.parquet"))
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """df over at least as many tasks as there are cores: a table of few small files would keep most of them idle. Tables of enough files stay as they are read."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
