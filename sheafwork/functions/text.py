@@ -31,7 +31,7 @@ def normalize(c: Column) -> Column:
     """Accents off, dashes and quotes in one form, lower case, trimmed; by built-ins only, so compatibility forms stay."""
     text = F.translate(F.regexp_replace(c, r"[\x{300}-\x{36F}]", ""), *_accent_table())
     text = F.regexp_replace(text, r"[\x{2010}-\x{2015}\x{2212}]", "-")
-    text = F.regexp_replace(F.regexp_replace(text, r"[\x{2018}\x{2019}\x{201A}\x{2032}]", "'"), r"[\x{201C}-\x{201E}\x{AB}\x{BB}]", '"')
+    text = F.translate(text, "\u2018\u2019\u02bc\u201c\u201d\u00a0", "\'\'\'\"\" ")
     return F.trim(F.lower(text))
 
 
@@ -72,7 +72,8 @@ def detect_script(c: Column) -> Column:
 
 
 def loose_equals(a: Column, b: Column) -> Column:
-    """Equal within min(2, floor(longer / 4)) edits."""
+    """Equal within min(2, floor(longer / 4)) edits, both in normalized form."""
+    a, b = normalize(a), normalize(b)
     most = F.least(F.lit(2), F.floor(F.greatest(F.length(a), F.length(b)) / 4))
     return F.levenshtein(a, b) <= most
 
@@ -116,11 +117,29 @@ def contains_word(c: Column, alternatives: list[str]) -> Column:
 
 
 def stable_id(prefix: str, *parts: Column) -> Column:
-    """prefix-hash: FNV-1a, 32 bits, in base 36, over the NUL-joined parts (nulls as empty)."""
+    """prefix_hash: FNV-1a, 32 bits, in base 36, over the UTF-16 units of the NUL-joined parts (nulls as empty)."""
     joined = F.concat_ws("\u0000", *[F.coalesce(p.cast("string"), F.lit("")) for p in parts])
-    step = lambda h, ch: (h.bitwiseXOR(F.ascii(ch).cast("bigint")) * F.lit(16777619).cast("bigint")).bitwiseAND(F.lit(4294967295).cast("bigint"))
-    value = F.aggregate(F.split(joined, ""), F.lit(2166136261).cast("bigint"), step)
-    return F.concat(F.lit(prefix + "-"), F.lower(F.conv(value.cast("string"), 10, 36)))
+    mixed = lambda h, unit: (h.bitwiseXOR(unit) * F.lit(16777619).cast("bigint")).bitwiseAND(F.lit(4294967295).cast("bigint"))
+
+    def step(h: Column, unit: Column) -> Column:
+        # A character beyond the first plane is two units.
+        above = unit - 65536
+        return F.when(unit < 65536, mixed(h, unit)).otherwise(mixed(mixed(h, F.lit(55296) + F.floor(above / 1024)), F.lit(56320) + above % 1024))
+
+    units = F.transform(F.filter(F.split(joined, ""), lambda ch: ch != ""), lambda ch: F.ascii(ch).cast("bigint"))
+    value = F.aggregate(units, F.lit(2166136261).cast("bigint"), step)
+    return F.concat(F.lit(prefix + "_"), F.lower(F.conv(value.cast("string"), 10, 36)))
+
+
+def random_id(prefix: str) -> Column:
+    """prefix_ and twelve random hexadecimal digits; differs at each evaluation."""
+    return F.concat(F.lit(prefix + "_"), F.left(F.replace(F.uuid(), F.lit("-"), F.lit("")), F.lit(12)))
+
+
+def json_object(c: Column, ddl: str) -> Column:
+    """The object between the first { and the last } of a text, read by a schema; fields that don't fit it are null, and the whole is null where no object stands."""
+    inner = F.regexp_extract(c, r"(?s)\{.*\}", 0)
+    return F.when(inner != "", F.from_json(inner, ddl, {"mode": "PERMISSIVE"}))
 
 
 def plural_ru(n: Column, one: str, few: str, many: str) -> Column:

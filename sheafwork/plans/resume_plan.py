@@ -253,3 +253,14 @@ def _fold(phrase: str) -> str:
 
 def fact_rows(d: Dialect) -> str:
     return f"WITH {facts(d)} SELECT * FROM fact"
+
+
+def summaries(d: Dialect) -> str:
+    """(extraction_id, candidate_id, months, seniority, matched_required, missing_required, matched_optional, flags): the shortlist row of each text, but for its scores; skills joined by |."""
+    level = _LEVEL.format("own_rank")
+    listed = ("array(" if d.spark else "[") + ", ".join(
+        f"CASE WHEN {test} THEN '{flag}' ELSE '' END" for flag, test in (("missing-contacts", "email IS NULL"), ("employment-gap", "coalesce(longest_gap, 0) >= 6"), ("short-tenures", "coalesce(short_stints, 0) >= 2"), ("undated-experience", "coalesce(jobs, 0) > 0 AND coalesce(dated, 0) = 0"))
+    ) + (")" if d.spark else "]")
+    has = lambda a, no: d.join(d.let(lambda m: d.filter(a, "y", f"{no}contains({m}, y)"), m1="n"), "|")
+    return f"""WITH {facts(d)} SELECT extraction_id, candidate_id, coalesce(total_months, 0) AS months, {level} AS seniority, {has('required', '')} AS matched_required, {has('required', 'NOT ')} AS missing_required, {has('optional', '')} AS matched_optional,
+    {d.join(d.filter(listed, 'y', "y <> ''"), '|')} AS flags FROM (SELECT *, {_IMPLIED} AS own_rank FROM matched) q"""

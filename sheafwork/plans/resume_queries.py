@@ -39,6 +39,7 @@ planned("contact_blocks", plan.contact_rows)
 planned("contact_links", plan.link_rows)
 planned("career_metrics", plan.career_rows)
 planned("document_facts", plan.fact_rows)
+planned("candidate_summaries", plan.summaries)
 planned("role_headers", parsers.entries)
 planned("undated_roles", parsers.undated_entries)
 planned("education_entries", parsers.education)

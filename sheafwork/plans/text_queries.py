@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 from ..functions import dates as D
 from ..functions import text as T
 from ..session import table
+from .dialect import OTHER
 
 SPACE_SQL = r"[\s\x{0B}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}\x{FEFF}]"
 WORD_SQL = r"[\p{L}\p{N}][\p{L}\p{N}+#./''-]*"
@@ -33,10 +34,7 @@ def text_squish(spark, sf_dir):
     return docs(spark, sf_dir).withColumn("s", T.squish(F.col("text"))).select("doc_id", F.length("s").cast("bigint").alias("n"), F.md5("s").alias("digest"))
 
 
-@query(
-    rf"""SELECT doc_id, md5(trim(lower(regexp_replace(regexp_replace(regexp_replace(translate(regexp_replace(text, '[\x{{300}}-\x{{36F}}]', '', 'g'), '{_FROM}', '{_TO}'), '[\x{{2010}}-\x{{2015}}\x{{2212}}]', '-', 'g'),
-    '[\x{{2018}}\x{{2019}}\x{{201A}}\x{{2032}}]', '''', 'g'), '[\x{{201C}}-\x{{201E}}\x{{AB}}\x{{BB}}]', '"', 'g')), ' ')) AS digest FROM documents"""
-)
+@query(f"SELECT doc_id, md5({OTHER.norm('text')}) AS digest FROM documents")
 def text_normalize(spark, sf_dir):
     return docs(spark, sf_dir).select("doc_id", F.md5(T.normalize(F.col("text"))).alias("digest"))
 
@@ -84,8 +82,8 @@ def text_find_span(spark, sf_dir):
 
 
 @query(
-    """SELECT DISTINCT candidate_id, headline, seniority, levenshtein(lower(coalesce(headline, '')), lower(coalesce(seniority, ''))) <= least(2, floor(greatest(length(coalesce(headline, '')), length(coalesce(seniority, ''))) / 4)) AS close
-    FROM candidates"""
+    f"""SELECT DISTINCT candidate_id, headline, seniority, levenshtein(h, s) <= least(2, floor(greatest(length(h), length(s)) / 4)) AS close
+    FROM (SELECT candidate_id, headline, seniority, {OTHER.norm("coalesce(headline, '')")} AS h, {OTHER.norm("coalesce(seniority, '')")} AS s FROM candidates)"""
 )
 def text_loose_equals(spark, sf_dir):
     c = table(spark, sf_dir, "candidates").select("candidate_id", "headline", "seniority").distinct()
@@ -93,7 +91,15 @@ def text_loose_equals(spark, sf_dir):
     return c.select("*", T.loose_equals(low("headline"), low("seniority")).alias("close"))
 
 
-@query()
+_MIX = "CAST(xor({}, {}) * 16777619 & 4294967295 AS BIGINT)"
+_DIGITS = " || ".join(f"substr('0123456789abcdefghijklmnopqrstuvwxyz', CAST(h // {36**k} % 36 + 1 AS INTEGER), 1)" for k in range(6, -1, -1))
+
+
+@query(
+    f"""WITH units AS (SELECT doc_id, list_transform(list_filter(string_split(CAST(doc_id AS VARCHAR) || chr(0) || coalesce(text, ''), ''), lambda c: c <> ''), lambda c: CAST(unicode(c) AS BIGINT)) AS u FROM documents),
+    hashed AS (SELECT doc_id, list_reduce(u, lambda h, c: CASE WHEN c < 65536 THEN {_MIX.format('h', 'c')} ELSE {_MIX.format(_MIX.format('h', '55296 + (c - 65536) // 1024'), '56320 + (c - 65536) % 1024')} END, CAST(2166136261 AS BIGINT)) AS h FROM units)
+    SELECT doc_id, 'doc_' || ltrim({_DIGITS}, '0') AS stable_id FROM hashed"""
+)
 def text_stable_id(spark, sf_dir):
     return docs(spark, sf_dir).select("doc_id", T.stable_id("doc", F.col("doc_id"), F.col("text")).alias("stable_id"))
 

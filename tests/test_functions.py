@@ -32,7 +32,7 @@ def test_stable_id_is_fnv(spark):
             out = "0123456789abcdefghijklmnopqrstuvwxyz"[r] + out
         return out
 
-    assert values(spark, [("ab", "c")], "t string, u string", i=T.stable_id("x", F.col("t"), F.col("u")))[0][0] == "x-" + fnv("ab\0c")
+    assert values(spark, [("ab", "c")], "t string, u string", i=T.stable_id("x", F.col("t"), F.col("u")))[0][0] == "x_" + fnv("ab\0c")
 
 
 def test_dates(spark):
@@ -51,3 +51,28 @@ def test_dates(spark):
     for (r,), want in zip(got, cases.values()):
         assert (r is None) if want is None else ((tuple(r.start), r.end and tuple(r.end), r.is_current) == want)
     assert values(spark, [(14,), (0,), (7,)], "n int", s=D.format_months(F.col("n"))) == [("1 y 2 mo",), ("0 mo",), ("7 mo",)]
+
+
+def test_stable_id_counts_utf16_units(spark):
+    def fnv16(text):
+        h = 2166136261
+        raw = text.encode("utf-16-le")
+        for k in range(0, len(raw), 2):
+            h = ((h ^ int.from_bytes(raw[k : k + 2], "little")) * 16777619) & 0xFFFFFFFF
+        out = ""
+        while h:
+            h, r = divmod(h, 36)
+            out = "0123456789abcdefghijklmnopqrstuvwxyz"[r] + out
+        return out
+
+    assert values(spark, [("a😀б", None)], "t string, u string", i=T.stable_id("x", F.col("t"), F.col("u")))[0][0] == "x_" + fnv16("a😀б\0")
+
+
+def test_normalize_loose_and_json(spark):
+    got = values(spark, [(" Ａ‘É’ ʼ„x“\u00a0–Ö",)], "t string", n=T.normalize(F.col("t")))[0][0]
+    assert got == "ａ'e' '„x\" -o"
+    assert values(spark, [("Économie", "economie")], "t string, u string", e=T.loose_equals(F.col("t"), F.col("u")))[0][0]
+    said = [("Here: ```{\"a\": 1, \"b\": \"x\"}``` done",), ("nothing",), (None,), ("{broken",)]
+    assert [r[0] and tuple(r[0]) for r in values(spark, said, "t string", j=T.json_object(F.col("t"), "a int, b string"))] == [(1, "x"), None, None, None]
+    ids = values(spark, [(1,), (2,)], "i int", r=T.random_id("q"))
+    assert ids[0][0] != ids[1][0] and all(len(r[0]) == 14 and r[0].startswith("q_") for r in ids)
