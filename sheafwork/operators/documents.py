@@ -48,24 +48,33 @@ def heading_kind(line: Column) -> Column:
     return kind
 
 
+def once(value: Column, body) -> Column:
+    """body(value) with the value computed once, however often a lambda function in it reads the value."""
+    return F.get(F.transform(F.array(value), body), 0)
+
+
+def cut_at(lines: Column, kinds: Column) -> Column:
+    """Structs (kind, lines) of an array of lines cut at those with a kind; what comes before the first has the kind null. One slice a piece, so the work is linear."""
+    places = F.filter(F.sequence(F.lit(1), F.size(kinds)), lambda i: F.get(kinds, i - 1).isNotNull())
+
+    def pieces(at: Column) -> Column:
+        ends = lambda i: F.coalesce(F.get(at, i + 1), F.size(lines) + 1)
+        body = lambda p, i: F.struct(F.get(kinds, p - 1).alias("kind"), F.slice(lines, p + 1, ends(i) - p - 1).alias("lines"))
+        head = F.struct(F.lit(None).cast("string").alias("kind"), F.slice(lines, F.lit(1), F.coalesce(F.get(at, 0), F.size(lines) + 1) - 1).alias("lines"))
+        return F.concat(F.array(head), F.transform(at, body))
+
+    return once(places, pieces)
+
+
 def sections(df: DataFrame, key: str, text: str) -> DataFrame:
     """(key, section_no, kind, n_lines, n_words, body): a text cut at its headings; what comes before the first is `contacts`.
 
-    Folds the lines of a text in one pass, so documents are never regrouped. Null texts have none; an empty text has one empty section.
+    Headings are marked and each section is sliced once, so documents are never regrouped. Null texts have none; an empty text has one empty section.
     """
-    rows = F.transform(T.lines(F.col(text)), lambda x: F.struct(heading_kind(x).alias("kind"), x.alias("line")))
-    body = "struct<kind:string,lines:array<string>>"
-
-    def step(acc: Column, row: Column) -> Column:
-        new = F.struct(row.getField("kind").alias("kind"), F.array().cast("array<string>").alias("lines"))
-        last = F.get(acc, F.size(acc) - 1)
-        grown = F.struct(last.getField("kind").alias("kind"), F.array_append(last.getField("lines"), row.getField("line")).alias("lines"))
-        return F.when(row.getField("kind").isNotNull(), F.array_append(acc, new)).otherwise(F.array_append(F.slice(acc, F.lit(1), F.size(acc) - 1), grown))
-
-    start = F.array(F.struct(F.lit("contacts").alias("kind"), F.array().cast("array<string>").alias("lines"))).cast(f"array<{body}>")
-    found = df.where(F.col(text).isNotNull()).select(key, F.posexplode(F.aggregate(rows, start, step)).alias("p", "s"))
+    split = lambda x: once(F.transform(x, heading_kind), lambda k: cut_at(x, k))
+    found = df.where(F.col(text).isNotNull()).select(key, F.posexplode(once(T.lines(F.col(text)), split)).alias("p", "s"))
     text_of = F.array_join("s.lines", "\n")
-    return found.select(key, (F.col("p") + 1).alias("section_no"), "s.kind", F.size("s.lines").alias("n_lines"), T.word_count(text_of).alias("n_words"), F.trim(text_of).alias("body"))
+    return found.select(key, (F.col("p") + 1).alias("section_no"), F.coalesce("s.kind", F.lit("contacts")).alias("kind"), F.size("s.lines").alias("n_lines"), T.word_count(text_of).alias("n_words"), F.trim(text_of).alias("body"))
 
 
 def bullet_metrics(df: DataFrame, key: str, text: str, weak: list[str]) -> DataFrame:
@@ -128,9 +137,42 @@ def redact(c: Column) -> Column:
     return F.regexp_replace(c, r"(?:\+\d{1,3}[\s(-]?)?(?:\d[\s()-]?){9,14}\d", "[[PHONE]]")
 
 
+def redact_known(c: Column, values: Column) -> Column:
+    """struct(text, entries): known values of three and more characters first, longest first, as [[PII_n]]; then e-mail addresses, links and telephone numbers as [[EMAIL_n]], [[URL_n]], [[PHONE_n]].
+
+    n counts on over all placeholders; entries map those of known values that were found to the value, the others to an empty string, as these can't be put back. Null texts give null.
+    """
+    state = "struct<text:string,n:int,entries:array<struct<key:string,value:string>>>"
+    start = F.struct(c.alias("text"), F.lit(0).alias("n"), F.array().cast("array<struct<key:string,value:string>>").alias("entries")).cast(state)
+    add = lambda acc, key, value, text: F.struct(text.alias("text"), (acc.getField("n") + 1).alias("n"), F.array_append(acc.getField("entries"), F.struct(key.alias("key"), value.alias("value"))).alias("entries"))
+    named = lambda kind, n: F.concat(F.lit(f"[[{kind}_"), n.cast("string"), F.lit("]]"))
+
+    def known(acc: Column, value: Column) -> Column:
+        key = named("PII", acc.getField("n"))
+        hit = F.contains(acc.getField("text"), value)
+        return F.when(hit, add(acc, key, value, F.replace(acc.getField("text"), value, key))).otherwise(F.struct(acc.getField("text").alias("text"), (acc.getField("n") + 1).alias("n"), acc.getField("entries").alias("entries")))
+
+    def shape(acc: Column, kind: str, pattern: str, fits=lambda x: F.lit(True)) -> Column:
+        # The text is cut at the matches; each place between two pieces gets the next number.
+        def replace(a: Column) -> Column:
+            found = F.filter(F.array_distinct(F.regexp_extract_all(a.getField("text"), F.lit(pattern), F.lit(0))), fits)
+            ordered = F.array_sort(found, lambda x, y: F.when(F.length(x) == F.length(y), F.when(x < y, -1).when(x > y, 1).otherwise(0)).otherwise(F.length(y) - F.length(x)).cast("int"))
+            return F.aggregate(ordered, a, lambda b, m: add(b, named(kind, b.getField("n")), F.lit(""), F.replace(b.getField("text"), m, named(kind, b.getField("n")))))
+
+        return once(acc, replace)
+
+    digits = lambda x: F.length(F.regexp_replace(x, r"\D", "")) >= 10
+    wanted = F.filter(F.array_distinct(F.coalesce(values, F.array().cast("array<string>"))), lambda v: v.isNotNull() & (F.length(F.trim(v)) >= 3))
+    longest = F.array_sort(wanted, lambda x, y: F.when(F.length(x) == F.length(y), F.when(x < y, -1).when(x > y, 1).otherwise(0)).otherwise(F.length(y) - F.length(x)).cast("int"))
+    done = F.aggregate(longest, start, known)
+    for kind, pattern, fits in (("EMAIL", EMAIL, lambda x: F.lit(True)), ("URL", r"(?:https?://|www\.)[^\s<>\",;)\]]+", lambda x: F.lit(True)), ("PHONE", r"(?:\+\d{1,3}[\s(-]?)?(?:\d[\s()-]?){9,14}\d", digits)):
+        done = shape(done, kind, pattern, fits)
+    return F.when(c.isNotNull(), once(done, lambda a: F.struct(a.getField("text").alias("text"), F.map_from_entries(a.getField("entries")).alias("entries"))))
+
+
 def restore(c: Column, placeholders: Column) -> Column:
-    """Placeholders put back from a map; unknown ones stay."""
-    return F.aggregate(F.map_entries(placeholders), c, lambda acc, e: F.replace(acc, e.getField("key"), e.getField("value")))
+    """Placeholders put back from a map; unknown ones, and those without a value, stay."""
+    return F.aggregate(F.filter(F.map_entries(placeholders), lambda e: e.getField("value") != ""), c, lambda acc, e: F.replace(acc, e.getField("key"), e.getField("value")))
 
 
 def leaks(c: Column, values: Column) -> Column:

@@ -19,43 +19,32 @@ def is_anchor(line: Column) -> Column:
 def experience_entries(df: DataFrame, key: str, text: str) -> DataFrame:
     """(key, job_no, header, dates, bullets): each anchor line and the lines down to the next anchor, empty line or heading.
 
-    header is the line without its dates; bullets are the lines below, marks off. Null texts and texts without anchors have none.
+    header is the line without its dates; bullets are the lines below, marks off. Null texts and texts without anchors have none. Anchors are
+    marked and what follows each is sliced once.
     """
-    kind = "array<struct<open:boolean,header:string,bullets:array<string>>>"
-    start = F.array().cast(kind)
-
-    def step(acc: Column, line: Column) -> Column:
-        last = F.get(acc, F.size(acc) - 1)
-        new = F.struct(F.lit(True).alias("open"), line.alias("header"), F.array().cast("array<string>").alias("bullets"))
-        with_last = lambda open_, bullets: F.array_append(F.slice(acc, F.lit(1), F.size(acc) - 1), F.struct(open_.alias("open"), last.getField("header").alias("header"), bullets.alias("bullets")))
-        ends = (F.trim(line) == "") | O.heading_kind(line).isNotNull()
-        return (
-            F.when(is_anchor(line), F.array_append(acc, new))
-            .when(F.size(acc) == 0, acc)
-            .when(ends, with_last(F.lit(False), last.getField("bullets")))
-            .when(last.getField("open"), with_last(F.lit(True), F.array_append(last.getField("bullets"), F.regexp_replace(line, O.BULLET, ""))))
-            .otherwise(acc)
-        )
-
-    entries = F.aggregate(T.lines(F.col(text)), start, step)
-    found = df.where(F.col(text).isNotNull()).select(key, F.posexplode(entries).alias("p", "e"))
-    header = F.trim(F.regexp_replace("e.header", _DATES, ""))
-    dates = F.regexp_extract("e.header", RANGE[:-2] + r".*$", 0)
-    return found.select(key, (F.col("p") + 1).alias("job_no"), header.alias("header"), dates.alias("dates"), F.col("e.bullets").alias("bullets"))
+    ends = lambda line: (F.trim(line) == "") | O.heading_kind(line).isNotNull()
+
+    def until_end(lines: Column) -> Column:
+        stop = F.array_position(F.transform(lines, ends), True).cast("int")
+        return F.transform(F.when(stop > 0, F.slice(lines, F.lit(1), stop - 1)).otherwise(lines), lambda x: F.regexp_replace(x, O.BULLET, ""))
+
+    def pieces(lines: Column) -> Column:
+        return O.once(F.transform(lines, lambda x: F.when(is_anchor(x), x)), lambda kinds: F.filter(O.cut_at(lines, kinds), lambda e: e.getField("kind").isNotNull()))
+
+    found = df.where(F.col(text).isNotNull()).select(key, F.posexplode(O.once(T.lines(F.col(text)), pieces)).alias("p", "e"))
+    header = F.trim(F.regexp_replace("e.kind", _DATES, ""))
+    dates = F.regexp_extract("e.kind", RANGE[:-2] + r".*$", 0)
+    return found.select(key, (F.col("p") + 1).alias("job_no"), header.alias("header"), dates.alias("dates"), until_end(F.col("e.lines")).alias("bullets"))
 
 
 def vacancy_items(df: DataFrame, key: str, text: str) -> DataFrame:
     """(key, block, item_no, item): list lines under the headings of duties, required and optional skills; the last heading above decides."""
-    kind = "struct<block:string,items:array<struct<block:string,item:string>>>"
-    start = F.struct(F.lit(None).cast("string").alias("block"), F.array().cast("array<struct<block:string,item:string>>").alias("items")).cast(kind)
-
-    def step(acc: Column, line: Column) -> Column:
-        heading = O.heading_kind(line)
-        item = F.struct(acc.getField("block").alias("block"), F.trim(F.regexp_replace(line, O.BULLET, "")).alias("item"))
-        taken = acc.getField("block").isin("duties", "requirements", "optional") & line.rlike(O.BULLET)
-        return F.struct(
-            F.when(heading.isNotNull(), heading).otherwise(acc.getField("block")).alias("block"), F.when(heading.isNull() & taken, F.array_append(acc.getField("items"), item)).otherwise(acc.getField("items")).alias("items")
-        )
-
-    items = F.aggregate(T.lines(F.col(text)), start, step, lambda acc: acc.getField("items"))
-    return df.where(F.col(text).isNotNull()).select(key, F.posexplode(items).alias("p", "i")).select(key, "i.block", (F.col("p") + 1).alias("item_no"), "i.item")
+
+    def items(lines: Column) -> Column:
+        blocks = O.once(F.transform(lines, O.heading_kind), lambda kinds: O.cut_at(lines, kinds))
+        own = F.filter(blocks, lambda b: b.getField("kind").isin("duties", "requirements", "optional"))
+        listed = lambda b: F.transform(F.filter(b.getField("lines"), lambda x: x.rlike(O.BULLET)), lambda x: F.struct(b.getField("kind").alias("block"), F.trim(F.regexp_replace(x, O.BULLET, "")).alias("item")))
+        return F.flatten(F.transform(own, listed))
+
+    found = O.once(T.lines(F.col(text)), items)
+    return df.where(F.col(text).isNotNull()).select(key, F.posexplode(found).alias("p", "i")).select(key, "i.block", (F.col("p") + 1).alias("item_no"), "i.item")

@@ -67,22 +67,29 @@ def merge_spans(spans: Column) -> Column:
 
 
 def fixed_windows(events: DataFrame, key: str, time: str, tie: str, limit: int, seconds: int) -> DataFrame:
-    """Decision of a fixed-window limiter for each event: a key's window opens at its first request after the last window closed.
+    """(key, tie, allowed): decision of a fixed-window limiter for each event; a key's window opens at its first request after the last window closed.
 
-    Folds a key's times in order, in one array. A key's events must fit a task; give a salted or daily key where one may not.
+    Rows of a key are sorted inside their partition and streamed in batches with the state of one key at a time, so no key is ever held in memory; a null key is a key of its own. The order decides, so a key's
+    events pass through one task; give a salted or daily key where that is too slow.
     """
-    state = "struct<opened:bigint,n:int,out:array<struct<t:bigint,id:bigint,allowed:boolean>>>"
-    seen = events.groupBy(key).agg(F.array_sort(F.collect_list(F.struct(F.unix_micros(F.col(time).cast("timestamp")).alias("t"), F.col(tie).cast("bigint").alias("id")))).alias("e"))
-    start = F.struct(F.lit(None).cast("bigint").alias("opened"), F.lit(0).alias("n"), F.array().cast("array<struct<t:bigint,id:bigint,allowed:boolean>>").alias("out")).cast(state)
-
-    def step(acc: Column, e: Column) -> Column:
-        fresh = acc.getField("opened").isNull() | (e.getField("t") - acc.getField("opened") >= seconds * 1_000_000)
-        n = F.when(fresh, 1).otherwise(acc.getField("n") + 1)
-        row = F.struct(e.getField("t").alias("t"), e.getField("id").alias("id"), (n <= limit).alias("allowed"))
-        return F.struct(F.when(fresh, e.getField("t")).otherwise(acc.getField("opened")).alias("opened"), n.cast("int").alias("n"), F.array_append(acc.getField("out"), row).alias("out"))
-
-    folded = seen.select(key, F.explode(F.aggregate("e", start, step, lambda acc: acc.getField("out"))).alias("x"))
-    return folded.select(key, F.col("x.id").alias(tie), "x.allowed")
+    import pandas as pd
+
+    shape = events.select(key, F.col(tie).cast("bigint").alias(tie)).schema
+    rows = events.select(key, F.col(tie).cast("bigint").alias(tie), F.unix_micros(F.col(time).cast("timestamp")).alias("__t")).repartition(key).sortWithinPartitions(key, "__t", tie)
+
+    def decide(batches):
+        current, opened, n = object(), 0, 0
+        for batch in batches:
+            allowed = []
+            for k, t in zip(batch[key].tolist(), batch["__t"].tolist()):
+                same = k == current or (k != k and current != current)
+                if not same or t - opened >= seconds * 1_000_000:
+                    current, opened, n = k, t, 0
+                n += 1
+                allowed.append(n <= limit)
+            yield pd.DataFrame({key: batch[key], tie: batch[tie], "allowed": allowed})
+
+    return rows.mapInPandas(decide, shape.add("allowed", "boolean"))
 
 
 __all__ = ["band", "coverage", "csv_cell", "csv_line", "fixed_windows", "js_round", "latest", "merge_spans", "rank_total", "shortlist"]
