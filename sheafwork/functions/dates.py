@@ -3,25 +3,27 @@
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-# Month names in six languages, full and short, in the order of the year.
+from . import text as T
+
+# Month names in seven languages, full and short, in the order of the year.
 MONTHS = """
-january jan jänner januar janvier janv enero ene janeiro январь января янв
-february feb februar février févr febrero fevereiro fev февраль февраля фев
+january jan jänner januar janvier janv enero ene janeiro gennaio январь января янв
+february feb februar février févr febrero fevereiro fev febbraio февраль февраля фев
 march mar märz mrz mars marzo março март марта мар
-april apr avril avr abril abr апрель апреля апр
-may mai mayo maio май мая
-june jun juni juin junio junho июнь июня июн
-july jul juli juillet juil julio julho июль июля июл
+april apr avril avr abril abr aprile апрель апреля апр
+may mai mayo maio maggio май мая
+june jun juni juin junio junho giugno июнь июня июн
+july jul juli juillet juil julio julho luglio июль июля июл
 august aug août aou agosto ago август августа авг
-september sep sept septembre septiembre setembro set сентябрь сентября сен сент
-october oct oktober okt octobre octubre outubro out октябрь октября окт
+september sep sept septembre septiembre setembro set settembre сентябрь сентября сен сент
+october oct oktober okt octobre octubre outubro out ottobre октябрь октября окт
 november nov novembre noviembre novembro ноябрь ноября ноя нояб
-december dec dezember dez décembre déc diciembre dic dezembro декабрь декабря дек
+december dec dezember dez décembre déc diciembre dic dezembro dicembre декабрь декабря дек
 """
 MONTH_OF = {name: k for k, line in enumerate(MONTHS.strip().splitlines(), 1) for name in line.split()}
 
 # Words for a range that still runs.
-CURRENT = "present|current|now|today|ongoing|heute|derzeit|aktuell|jetzt|aujourd'hui|aujourd’hui|présent|en cours|actuel|actualidad|presente|actualmente|hoy|atual|atualmente|o momento|hoje|настоящее время|по настоящее время|сейчас|наст. время|по сей день|н.в.".split("|")
+CURRENT = "till now|to date|нв|текущее время|a ce jour|bis heute|la actualidad|oggi|attuale|present|current|now|today|ongoing|heute|derzeit|aktuell|jetzt|aujourd'hui|aujourd’hui|présent|en cours|actuel|actualidad|presente|actualmente|hoy|atual|atualmente|o momento|hoje|настоящее время|по настоящее время|сейчас|наст. время|по сей день|н.в.".split("|")
 
 _NAMES = "|".join(sorted(MONTH_OF, key=lambda m: (-len(m), m)))
 YEAR = r"(19[5-9]\d|20\d\d|2100)"
@@ -48,24 +50,41 @@ def parse_year_month(c: Column) -> Column:
     )
 
 
+def clean_token(c: Column) -> Column:
+    """Lower case without accents, no-break spaces plain, marks at the end off."""
+    return F.trim(F.regexp_replace(T.normalize(c), r"[.,;\s]+$", ""))
+
+
 def is_current_marker(c: Column) -> Column:
-    bare = F.regexp_replace(F.lower(F.trim(c)), r"\.$", "")
-    return F.coalesce(bare.isin([m.rstrip(".") for m in CURRENT] + CURRENT), F.lit(False))
+    """A word for now, dots or not, with at most two characters after it."""
+    token = clean_token(c)
+    bare = F.replace(token, F.lit("."), F.lit(""))
+    marks = sorted({_fold(m) for m in CURRENT})
+    near = lambda x, m: F.startswith(x, m) & (F.length(x) <= F.length(m) + 2)
+    told = F.exists(F.array(*[F.lit(m) for m in marks]), lambda m: near(token, m) | near(bare, F.replace(m, F.lit("."), F.lit(""))))
+    return F.coalesce(told, F.lit(False))
+
+
+def _fold(marker: str) -> str:
+    table = dict(zip(map(ord, T._accent_table()[0]), T._accent_table()[1]))
+    return marker.translate(table).replace("’", "'").lower()
 
 
-SEPARATOR = r"\s*(?:[–—]|--)\s*(?:по\s+)?|\s+(?:-|to|bis|à|au|a|até|до|по)\s+(?:по\s+)?"
+SEPARATOR = r"\s*(?:[‐-―−~]|--|(?<=\s)-|-(?=\s)|-(?=(?:\d{4}(?!\d)|\p{L})))\s*(?:по\s+)?|\s+(?:to|bis|à|au|a|até|до|по)\s+(?:по\s+)?"
 
 
 def parse_date_range(c: Column) -> Column:
     """struct(start, end, is_current): a range, an open range, or one endpoint as both ends; a word for now alone is current without ends; null where neither is told."""
-    parts = F.split(F.trim(c), SEPARATOR, 2)
+    parts = F.filter(F.split(F.trim(c), SEPARATOR, 2), lambda x: F.trim(x) != "")
     left, right = F.get(parts, 0), F.get(parts, 1)
     start, end = parse_year_month(left), parse_year_month(right)
     current = is_current_marker(right)
     told = F.struct(start.alias("start"), F.when(right.isNull(), start).when(~current, end).alias("end"), current.alias("is_current"))
     none = F.lit(None).cast("struct<year:int,month:int,format:string>")
     alone = F.struct(none.alias("start"), none.alias("end"), F.lit(True).alias("is_current"))
-    return F.when(start.isNotNull(), told).when(is_current_marker(c), alone)
+    whole = parse_year_month(c)
+    single = F.struct(whole.alias("start"), whole.alias("end"), F.lit(False).alias("is_current"))
+    return F.when(whole.isNotNull(), single).when(start.isNotNull(), told).when(is_current_marker(c), alone)
 
 
 def month_index(year: Column, month: Column) -> Column:

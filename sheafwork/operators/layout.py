@@ -7,41 +7,69 @@ so a hot document spreads over its pages.
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-HEADER, FOOTER, BINS, GUTTER, SIDE, LEAST_LINES = 0.075, 0.925, 100, 5, 0.2, 8
-# Fonts that every system reads.
-SAFE_FONTS = "arial calibri cambria georgia helvetica verdana tahoma times garamond roboto lato opensans inter segoe trebuchet courier bookantiqua palatino centurygothic notosans sourcesans montserrat liberation".split()
+from ..functions import text as T
+
+# Margins, bins of the width, least width of an empty stripe in bins, least share of spans on either side, least lines of a page, and where the middle lies.
+HEADER, FOOTER, BINS, GUTTER, SIDE, LEAST_LINES, MIDDLE = 0.075, 0.925, 100, 5, 0.2, 8, (0.22, 0.78)
+# Fonts that every system reads, letters only.
+SAFE_FONTS = "arial helvetica calibri times georgia garamond cambria verdana tahoma trebuchet roboto opensans lato inter segoe liberation dejavu nimbus notosans ptsans".split()
+# Characters that garble when copied.
 GLYPHS = ("ﬀ", "ﬁ", "ﬂ", "ﬃ", "ﬄ", "ﬅ", "ﬆ", "\u0000", "�")
 
 
 def columns_by_page(lines: DataFrame) -> DataFrame:
-    """(doc_id, page, columns): 2 where an empty stripe of 5 % lies in the middle with a fifth of the lines fully on either side, else 1.
+    """(doc_id, page, columns): 2 where an empty stripe of 5 % of the width and more, which reaches the middle, has a fifth of the spans fully on either side, else 1.
 
-    Lines in the margins don't count; a page of under eight lines has one column.
+    Spans are the structs (x, width) of a line's column spans, or the line itself where there is no such column or it is null or empty. Lines in the margins don't count; a page of under eight lines has one column.
     """
     body = lines.where((F.col("y") >= HEADER) & (F.col("y") <= FOOTER))
-    first, last = F.floor(F.col("x") * BINS), F.least(F.floor((F.col("x") + F.col("width")) * BINS), F.lit(BINS - 1))
-    covered = body.select("doc_id", "page", F.explode(F.sequence(first.cast("int"), F.greatest(first, last).cast("int"))).alias("bin")).groupBy("doc_id", "page").agg(F.collect_set("bin").alias("bins"))
-    spans = body.groupBy("doc_id", "page").agg(F.count("*").alias("n"), F.collect_list(F.struct(F.col("x").alias("a"), (F.col("x") + F.col("width")).alias("b"))).alias("spans"))
-    empty = F.array_except(F.sequence(F.lit(22), F.lit(78)), F.col("bins"))
-    stripe = F.filter(empty, lambda s: F.forall(F.sequence(s, s + GUTTER - 1), lambda k: ~F.array_contains(F.col("bins"), k)))
-    sides = lambda s: (F.size(F.filter("spans", lambda r: r.getField("b") <= s / BINS)) >= SIDE * F.col("n")) & (F.size(F.filter("spans", lambda r: r.getField("a") >= (s + GUTTER) / BINS)) >= SIDE * F.col("n"))
-    two = (F.col("n") >= LEAST_LINES) & F.exists(stripe, sides)
-    return spans.join(covered, ["doc_id", "page"]).select("doc_id", "page", F.when(two, 2).otherwise(1).alias("columns"))
+    own = F.array(F.struct(F.col("x").cast("double").alias("x"), F.col("width").cast("double").alias("width")))
+    spans = F.when(F.size("spans") > 0, F.transform("spans", lambda r: F.struct(r.getField("x").cast("double").alias("x"), r.getField("width").cast("double").alias("width")))).otherwise(own) if "spans" in lines.columns else own
+    counted = body.groupBy("doc_id", "page").agg(F.count("*").alias("n_lines"))
+    rows = body.select("doc_id", "page", F.explode(spans).alias("r")).select("doc_id", "page", F.col("r.x").alias("a"), (F.col("r.x") + F.col("r.width")).alias("z"))
+    first, last = F.greatest(F.floor(F.col("a") * BINS), F.lit(0)), F.least(F.ceil(F.col("z") * BINS), F.lit(BINS - 1))
+    covered = rows.select("doc_id", "page", F.explode(F.sequence(first.cast("int"), F.greatest(first, last).cast("int"))).alias("bin")).groupBy("doc_id", "page").agg(F.array_sort(F.collect_set("bin")).alias("bins"))
+    # Empty stripes lie between neighbouring covered bins, and at both edges.
+    edges = F.concat(F.array(F.lit(-1)), F.col("bins"), F.array(F.lit(BINS)))
+    stripes = F.transform(F.slice(edges, 1, F.size(edges) - 1), lambda e, i: F.struct((e + 1).alias("from"), F.get(edges, i + 1).alias("to")))
+    low, high = MIDDLE
+    wide = F.filter(stripes, lambda s: (s.getField("to") - s.getField("from") >= GUTTER) & (s.getField("to") / BINS >= low) & (s.getField("from") / BINS <= high))
+    stripe = covered.select("doc_id", "page", F.explode(wide).alias("s")).select("doc_id", "page", (F.col("s.from") / BINS).alias("lo"), (F.col("s.to") / BINS).alias("hi"))
+    # At most a page's bins of stripes meet its spans.
+    sides = rows.join(stripe, ["doc_id", "page"]).groupBy("doc_id", "page", "lo").agg(F.count("*").alias("n"), F.count_if(F.col("z") <= F.col("lo")).alias("left"), F.count_if(F.col("a") >= F.col("hi")).alias("right"))
+    two = sides.where((F.col("left") >= SIDE * F.col("n")) & (F.col("right") >= SIDE * F.col("n"))).select("doc_id", "page").distinct().withColumn("two", F.lit(True))
+    joined = counted.join(two, ["doc_id", "page"], "left")
+    return joined.select("doc_id", "page", F.when(F.coalesce("two", F.lit(False)) & (F.col("n_lines") >= LEAST_LINES), 2).otherwise(1).alias("columns"))
+
+
+_PAGE_NUMBER = r"(?i)^\s*(?:page\s*)?\d+\s*(?:/\s*\d+)?\s*$"
+
 
+def _margin_key(c: Column) -> Column:
+    return T.normalize(T.squish(c))
 
-def repeated_margins(lines: DataFrame) -> DataFrame:
-    """(doc_id, sample, pages): texts in the margins of two and more pages; bare page numbers are none."""
-    key = F.lower(F.trim(F.regexp_replace("text", r"\s+", " ")))
-    margin = lines.where(((F.col("y") < HEADER) | (F.col("y") > FOOTER)) & ~F.trim("text").rlike(r"^\W*(?:page|seite|стр\.?)?\s*\d+(?:\s*(?:of|/|von|из)\s*\d+)?\W*$"))
-    return margin.groupBy("doc_id", key.alias("k")).agg(F.countDistinct("page").alias("pages"), F.min_by("text", "line_no").alias("sample")).where("pages >= 2").select("doc_id", "sample", "pages")
+
+def repeated_margins(lines: DataFrame, samples: int | None = None) -> DataFrame:
+    """(doc_id, sample, pages): texts in the margins of two and more pages, told apart in normalized form and given as first written; bare page numbers and texts under three characters are none.
+
+    samples: at most so many of a document, in their order there (a report shows five); None gives all.
+    """
+    margin = lines.where(((F.col("y") < HEADER) | (F.col("y") > FOOTER)) & (F.length(_margin_key(F.col("text"))) >= 3))
+    found = margin.groupBy("doc_id", _margin_key(F.col("text")).alias("k")).agg(F.countDistinct("page").alias("pages"), F.min_by("text", F.struct("page", "line_no")).alias("first"), F.min(F.struct("page", "line_no")).alias("at"))
+    found = found.where((F.col("pages") >= 2) & ~F.col("first").rlike(_PAGE_NUMBER)).select("doc_id", F.col("first").alias("sample"), "pages", "at")
+    if samples is not None:
+        found = found.withColumn("place", F.row_number().over(Window.partitionBy("doc_id").orderBy("at"))).where(F.col("place") <= samples)
+    return found.select("doc_id", "sample", "pages")
 
 
 def without_margins(lines: DataFrame) -> DataFrame:
-    """Lines of the body: those that repeat in the margins taken out."""
-    keyed = lines.withColumn("k", F.lower(F.trim(F.regexp_replace("text", r"\s+", " "))))
-    repeated = repeated_margins(lines).select(F.col("doc_id").alias("d"), F.lower(F.trim(F.regexp_replace("sample", r"\s+", " "))).alias("k2"))
-    in_margin = (F.col("y") < HEADER) | (F.col("y") > FOOTER)
-    return keyed.join(repeated, (keyed.doc_id == repeated.d) & (keyed.k == repeated.k2) & in_margin, "left_anti").drop("k")
+    """Lines of the body: those that repeat in the margins of two and more pages taken out, and page numbers there too, even on the only page of a document."""
+    keyed = lines.withColumn("__k", _margin_key(F.col("text"))).withColumn("__m", (F.col("y") < HEADER) | (F.col("y") > FOOTER))
+    pages = lines.groupBy("doc_id").agg(F.countDistinct("page").alias("__n"))
+    seen = keyed.where(F.col("__m") & (F.length("__k") >= 3)).groupBy("doc_id", "__k").agg(F.countDistinct("page").alias("__p")).join(pages, "doc_id")
+    number = F.col("__k").rlike(_PAGE_NUMBER)
+    gone = seen.where((F.col("__p") >= 2) | (number & (F.col("__n") == 1))).select("doc_id", "__k").withColumn("__m", F.lit(True))
+    return keyed.join(gone, ["doc_id", "__k", "__m"], "left_anti").select(*lines.columns)
 
 
 def nonstandard_fonts(fonts: Column) -> Column:

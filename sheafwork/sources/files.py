@@ -14,6 +14,8 @@ from ..session import ship
 FORMATS = ("pdf", "docx", "txt", "md")
 #: Files above this size are refused unread; least characters other than white space of a text; characters of a page.
 MOST_BYTES, LEAST_CHARS, PAGE_CHARS = 10 * 1024 * 1024, 80, 3400
+#: A PDF needs more, since scans often carry a few stray characters.
+LEAST_PDF_CHARS = 120
 _W = "{http://schemas.openxmlformats.org/wordprocessingml/2006/main}"
 SCHEMA = "path string, format string, plain_text string, page_count int, table_count int, fonts array<string>, links array<string>, error string"
 
@@ -93,7 +95,7 @@ def extract_bytes(path: str, fmt: str | None, data: bytes | None, size: int) ->
             row |= {"plain_text": text, "page_count": max(1, -(-len(text) // PAGE_CHARS)), "table_count": 0, "fonts": [], "links": []}
     except Exception as problem:  # noqa: BLE001 - a bad file must be a row, not the end of the job
         return row | {"error": getattr(problem, "code", "extraction-failed")}
-    if row.get("error") is None and len("".join((row["plain_text"] or "").split())) < LEAST_CHARS:
+    if row.get("error") is None and len("".join((row["plain_text"] or "").split())) < (LEAST_PDF_CHARS if fmt == "pdf" else LEAST_CHARS):
         row["error"] = "no-text-layer" if fmt == "pdf" else "empty-document"
     return row
 

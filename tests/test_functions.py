@@ -76,3 +76,13 @@ def test_normalize_loose_and_json(spark):
     assert [r[0] and tuple(r[0]) for r in values(spark, said, "t string", j=T.json_object(F.col("t"), "a int, b string"))] == [(1, "x"), None, None, None]
     ids = values(spark, [(1,), (2,)], "i int", r=T.random_id("q"))
     assert ids[0][0] != ids[1][0] and all(len(r[0]) == 14 and r[0].startswith("q_") for r in ids)
+
+
+def test_ranges_with_any_dash_and_marker(spark):
+    cases = {
+        "2019-2021": (2019, 2021, False), "03/2015 − 04/2016": (2015, 2016, False), "2019 – to date": (2019, None, True), "gennaio 2019 – oggi": (2019, None, True), "2019~2020": (2019, 2020, False), "08-2019": (2019, 2019, False),
+        "2011 - present.)": (2011, None, True), "март 2010 по н.в.": (2010, None, True), "Mai 2020 bis heute": (2020, None, True), "2010-11 to 2011-04": (2010, 2011, False),
+    }
+    got = values(spark, [(c,) for c in cases], "t string", r=D.parse_date_range(F.col("t")))
+    for (text, (start, end, current)), r in zip(cases.items(), got):
+        assert r[0] is not None and (r[0].start.year, r[0].end.year if r[0].end else None, r[0].is_current) == (start, end, current), text

@@ -110,6 +110,37 @@ def test_date_ranges_of_partial_rows(spark, tmp_path):
     assert got[4] == (None, None, None, None, True) and sorted(got) == [1, 2, 3, 4, 6]
 
 
+def test_columns_by_spans_and_margins_of_one_page(spark):
+    # One line holds a span in each column; the empty stripe begins left of the middle and reaches into it.
+    rows = [(1, 1, i, f"t{i}", 0.05, 0.1 + i * 0.05, 0.9, [(0.02, 0.13), (0.4, 0.5)]) for i in range(9)] + [(1, 1, 50, "12", 0.5, 0.98, 0.02, None), (2, 1, 1, "ab", 0.1, 0.02, 0.1, []), (2, 2, 1, "ab", 0.1, 0.02, 0.1, [])]
+    df = spark.createDataFrame(rows, "doc_id int, page int, line_no int, text string, x double, y double, width double, spans array<struct<x:double,width:double>>")
+    assert {(r.doc_id, r.page): r.columns for r in L.columns_by_page(df).collect()} == {(1, 1): 2}
+    assert L.repeated_margins(df).collect() == []  # a page number and a text of two characters
+    number = df.withColumn("text", F.when(F.col("line_no") == 50, "page 3").otherwise(F.col("text")))
+    assert L.without_margins(number).count() == len(rows) - 1
+    assert L.columns_by_page(df.limit(0)).collect() == [] and L.without_margins(df.limit(0)).collect() == []
+    assert spark.range(1).select(L.nonstandard_fonts(F.array(F.lit("DejaVu Sans"), F.lit("Comic Neue"), F.lit("serif"))).alias("f")).first().f == ["Comic Neue"]
+
+
+def test_numbered_placeholders(spark):
+    text = "Ann Lee, ann.lee@example.org, www.lee.example/cv, +44 7700 900123, Ann Lee, bo@example.org"
+    df = spark.createDataFrame([(1, text, ["Ann Lee", "ann.lee@example.org", "x", None]), (2, None, ["a"]), (3, "", None)], "id int, t string, v array<string>")
+    got = {r.id: r.r for r in df.select("id", O.redact_known(F.col("t"), F.col("v")).alias("r")).collect()}
+    assert got[1].text == "[[PII_1]], [[PII_0]], [[URL_3]], [[PHONE_4]], [[PII_1]], [[EMAIL_2]]" and got[1].entries["[[PII_1]]"] == "Ann Lee" and got[1].entries["[[EMAIL_2]]"] == ""
+    assert got[2] is None and got[3].text == ""
+    back = df.where("id = 1").select(O.restore(F.lit(got[1].text), F.create_map(*[F.lit(x) for e in got[1].entries.items() for x in e])).alias("b")).first().b
+    assert back == "Ann Lee, ann.lee@example.org, [[URL_3]], [[PHONE_4]], Ann Lee, [[EMAIL_2]]"
+
+
+def test_limiter_streams_keys(spark):
+    rows = [(k, i, f"2024-01-01 00:00:{s:02d}") for k in (1, 2, None) for i, s in enumerate((0, 3, 5, 9, 10, 11, 30))]
+    df = spark.createDataFrame(rows, "user_id int, event_id int, ts string").selectExpr("user_id", "event_id", "cast(ts as timestamp) as ts")
+    got = {(r.user_id, r.event_id): r.allowed for r in S.fixed_windows(df, "user_id", "ts", "event_id", 2, 10).collect()}
+    for k in (1, 2, None):
+        assert [got[k, i] for i in range(7)] == [True, True, False, False, True, True, True]
+    assert S.fixed_windows(df.limit(0), "user_id", "ts", "event_id", 2, 10).collect() == []
+
+
 def test_vacancy(spark):
     df = spark.createDataFrame([(1, "Clerk\n\nRequirements\n- Tilbase\n- QVX\n\nNice to have\n* cooking\n\nAbout\nbye"), (2, None)], "job_id int, t string")
     assert [(r.block, r.item_no, r.item) for r in P.vacancy_items(df, "job_id", "t").collect()] == [("requirements", 1, "Tilbase"), ("requirements", 2, "QVX"), ("optional", 3, "cooking")]
