@@ -19,8 +19,7 @@ ORACLES: dict[str, str] = {}
 
 WORD = r"[\p{L}\p{N}][\p{L}\p{N}+#./''-]*"
 BULLET = r"^\s*(?:[-*•–—▪·‣◦]|\d{1,2}[.)])\s+"
-WEAK = ["helped", "assisted", "prepared", "préparé", "preparei", "preparé", "подготовил", "tested"]
-PHRASES = ["my task was clear", "i learn quickly", "meine aufgabe war klar", "ma mission était claire", "mi tarea era clara", "a minha tarefa era clara", "задача была понятной"]
+WEAK, PHRASES = list(R.WEAK_OPENINGS), list(R.CLICHES)
 KEYWORDS = ["report", "contract", "stock", "plan", "budget"]
 
 

@@ -60,6 +60,6 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def spread(df: DataFrame) -> DataFrame:
-    """df over at least as many tasks as there are cores: a table of few small files would keep most of them idle. Tables of enough files stay as they are read."""
+    """df over as many tasks as there are cores where a table of few small files would keep most of them idle. Other tables stay as they are read, without a shuffle."""
     cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+    return df.repartition(cores) if df.rdd.getNumPartitions() * 2 < cores else df
