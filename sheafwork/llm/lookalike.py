@@ -252,6 +252,18 @@ def same_look_pairs(df: DataFrame, key: str, text: str) -> DataFrame:
     return pairs.select(F.least("i", "j").alias("left_id"), F.greatest("i", "j").alias("right_id")).where("left_id < right_id").distinct()
 
 
+def same_look_classes(df: DataFrame, key: str, text: str) -> DataFrame:
+    """(id, class_id, n_links): each row whose text looks like another of other characters, with its class and the number of rows it looks like so.
+
+    class_id is the digest of the consistent form. Copies are counted, not paired, so a look of many copies costs as much as any rows. Null texts and looks of one raw form give no row; repeated rows count once.
+    """
+    rows = cut(keyed(df, key, text, code_point_counts(df, text)).distinct())
+    forms = rows.groupBy("look", "raw").agg(F.count("*").alias("n"))
+    looks = forms.groupBy("look").agg(F.sum("n").alias("total"), F.count("*").alias("forms")).where("forms > 1")
+    linked = forms.join(looks, "look").select("look", "raw", (F.col("total") - F.col("n")).alias("n_links"))
+    return rows.join(linked, ["look", "raw"]).select("id", F.lower(F.hex("look")).alias("class_id"), "n_links")
+
+
 def same_look_entries(df: DataFrame, key: str, array: str, reference: DataFrame, ref_id: str, ref_text: str) -> DataFrame:
     """(left_id, right_id, pos): array elements that look like a reference text but aren't the same characters.
 

@@ -116,6 +116,12 @@ def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def p3_classes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The texts of p3_found as classes: one row an extraction with its class and its number of links."""
+    texts = table(spark, sf_dir, "extractions").select("extraction_id", "plain_text")
+    return lookalike.same_look_classes(texts, "extraction_id", "plain_text").withColumnRenamed("id", "extraction_id")
+
+
 def p8_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The mixed set: a row for each use of a document, with its tokens by byte_bpe_50k, its shard and its place there."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "source", "text").where("source is not null")
@@ -139,5 +145,5 @@ def p9_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return p9_statistics(spark, sf_dir).where("text_class != 'prose'").select("doc_id", "text_class")
 
 
-QUERIES = {"p2_found": p2_found, "p2_languages": p2_languages, "p3_found": p3_found, "p4_found": p4_found, "p4_values": p4_values, "p5_found": p5_found, "p5_redacted": p5_redacted, "p6_found": p6_found, "p6_values": p6_values, "p7_ids": p7_ids, "p7_decoded": p7_decoded, "p8_mix": p8_mix, "p8_shares": p8_shares, "p9_found": p9_found, "p9_statistics": p9_statistics}
+QUERIES = {"p2_found": p2_found, "p2_languages": p2_languages, "p3_found": p3_found, "p3_classes": p3_classes, "p4_found": p4_found, "p4_values": p4_values, "p5_found": p5_found, "p5_redacted": p5_redacted, "p6_found": p6_found, "p6_values": p6_values, "p7_ids": p7_ids, "p7_decoded": p7_decoded, "p8_mix": p8_mix, "p8_shares": p8_shares, "p9_found": p9_found, "p9_statistics": p9_statistics}
 ORACLES: dict[str, str] = {"p7_decoded": "SELECT doc_id, md5(coalesce(text, '')) AS digest FROM documents"}

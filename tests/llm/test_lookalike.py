@@ -41,3 +41,12 @@ def test_entries(spark):
 def test_composition_stays_canonical():
     rewrite = L.Rewriter(L.representatives({}))
     assert all(unicodedata.is_normalized("NFC", rewrite(t)) for t in SAME)
+
+
+def test_classes_count_the_pairs(spark):
+    rows = [(1, "ＡＢ text"), (2, "AB text"), (3, "AB text"), (4, "other"), (5, "other"), (6, None), (7, ""), (2, "AB text")]
+    df = spark.createDataFrame(rows, "extraction_id bigint, plain_text string")
+    got = {r.id: (r.class_id, r.n_links) for r in L.same_look_classes(df, "extraction_id", "plain_text").collect()}
+    assert {k: n for k, (_, n) in got.items()} == {1: 2, 2: 1, 3: 1} and len({c for c, _ in got.values()}) == 1
+    pairs = L.same_look_pairs(df, "extraction_id", "plain_text").collect()
+    assert sum(n for _, n in got.values()) == 2 * len(pairs)
