@@ -109,8 +109,11 @@ class Dialect:
         return text
 
     def explode(self, a: str, value: str, number: str) -> str:
-        """Select items: the elements of an array and their places from 1."""
-        return f"posexplode({a}) AS ({number}, {value})" if self.spark else f"unnest({a}) AS {value}, generate_subscripts({a}, 1) - 1 AS {number}"
+        """Select items: the elements of an array and their places from 0; an empty array may give a row without a place, which the plan drops.
+
+        Spark would infer from a plain posexplode that the array isn't empty and push that test down through all the steps that make the array, written out in full.
+        """
+        return f"posexplode_outer({a}) AS ({number}, {value})" if self.spark else f"unnest({a}) AS {value}, generate_subscripts({a}, 1) - 1 AS {number}"
 
     def integer(self, x: str) -> str:
         return f"CAST({x} AS INT)" if self.spark else f"CAST({x} AS INTEGER)"

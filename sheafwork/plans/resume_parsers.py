@@ -20,7 +20,7 @@ def _agg_lines(d: Dialect, text: str, order: str, keep: str) -> str:
 
 def _line_rows(d: Dialect) -> str:
     return f"""{documents(d)},
-    line AS (SELECT extraction_id, {d.explode('x', 'txt', 'i')} FROM doc),
+    line AS (SELECT * FROM (SELECT extraction_id, {d.explode('x', 'txt', 'i')} FROM doc) WHERE i IS NOT NULL),
     flag AS (SELECT *, {d.trim('txt')} = '' AS blank, {d.like('txt', BULLET)} AS bullet, {d.like('lower(txt)', RANGE)} AS dated, {d.word_count('txt')} AS wc FROM line),
     anchored AS (SELECT *, dated AND NOT bullet AND wc <= 18 AS anchor, blank OR bullet OR dated OR wc > 12 AS stops FROM flag)"""
 
@@ -76,7 +76,7 @@ def _blocks(d: Dialect, kind: str) -> str:
     body = d.join(d.map(d.filter("s", "z", f"z.kind = '{kind}'"), "z", "z.body"), "\n\n")
     return f"""{documents(d)},
     bodies AS (SELECT extraction_id, {body} AS body FROM doc),
-    pieces_ AS (SELECT extraction_id, {d.explode(d.filter(d.split('body', r'\n[ \t]*\n'), 'y', d.like('y', chr(92) + 'S')), 'blk', 'i')} FROM bodies)"""
+    pieces_ AS (SELECT * FROM (SELECT extraction_id, {d.explode(d.filter(d.split('body', r'\n[ \t]*\n'), 'y', d.like('y', chr(92) + 'S')), 'blk', 'i')} FROM bodies) WHERE i IS NOT NULL)"""
 
 
 def education(d: Dialect) -> str:
@@ -92,7 +92,7 @@ def certificates(d: Dialect) -> str:
     """(extraction_id, line_no, certificate): lines of 7 to 159 characters in certificate and education sections that name a certificate, or in the former a year; at most 30 a text, as the parser does."""
     body = d.join(d.map(d.filter("s", "z", "z.kind IN ('certifications', 'education')"), "z", "z.body"), "\n")
     return f"""WITH {documents(d)}, bodies AS (SELECT extraction_id, {body} AS body FROM doc),
-    rows_ AS (SELECT extraction_id, {d.explode(d.split('body', chr(92) + 'n'), 'txt', 'i')} FROM bodies),
+    rows_ AS (SELECT * FROM (SELECT extraction_id, {d.explode(d.split('body', chr(92) + 'n'), 'txt', 'i')} FROM bodies) WHERE i IS NOT NULL),
     named AS (SELECT extraction_id, i, {d.squish(d.replace('txt', r'^\s*[•·◦*\-–]\s*', ''))} AS certificate FROM rows_),
     kept AS (SELECT *, row_number() OVER (PARTITION BY extraction_id ORDER BY i) AS k FROM named WHERE length(certificate) > 6 AND length(certificate) < 160 AND ({d.words('lower(certificate)', V.CERTIFICATES)} OR {d.like('certificate', r'(?:^|[^0-9A-Za-z_])(?:19|20)\d{2}(?:$|[^0-9A-Za-z_])')}))
     SELECT extraction_id, {d.integer('i + 1')} AS line_no, certificate FROM kept WHERE k <= 30"""
@@ -104,7 +104,7 @@ def languages(d: Dialect) -> str:
     cefr = d.extract("txt", r"(?:^|[^A-Za-z0-9_])([ABC][12])(?:$|[^A-Za-z0-9_])", 1)
     level = d.extract("lower(txt)", rf"(?:^|[^\p{{L}}\p{{N}}])({_any(V.LEVELS)})(?:$|[^\p{{L}}\p{{N}}])", 1)
     return f"""WITH {documents(d)}, names AS ({names}),
-    rows_ AS (SELECT extraction_id, {d.explode(d.split('t', r'\n|;'), 'txt', 'i')} FROM doc),
+    rows_ AS (SELECT * FROM (SELECT extraction_id, {d.explode(d.split('t', r'\n|;'), 'txt', 'i')} FROM doc) WHERE i IS NOT NULL),
     levelled AS (SELECT extraction_id, i, {d.norm('txt')} AS folded, coalesce({cefr}, {level}) AS level FROM rows_ WHERE {d.like('lower(txt)', _any('|'.join(V.LANGUAGE_NAMES.values())))}),
     met AS (SELECT extraction_id, language, level, i FROM levelled JOIN names ON contains(folded, alias))
     SELECT extraction_id, language, min_by(level, i) AS level FROM met GROUP BY extraction_id, language"""
@@ -121,7 +121,7 @@ def skills(d: Dialect) -> str:
     body = d.join(d.map(d.filter("s", "z", "z.kind = 'skills'"), "z", "z.body"), "\n")
     bare = d.trim(d.replace("raw", r"\s*\([^)]*\)$", ""))
     return f"""WITH {documents(d)}, bodies AS (SELECT extraction_id, {body} AS body FROM doc),
-    items AS (SELECT extraction_id, {d.explode(d.filter(d.map(d.split('body', r'[,;|\n•·]'), 'y', d.squish(d.replace('y', BULLET, ''))), 'y', 'length(y) BETWEEN 2 AND 40'), 'raw', 'i')} FROM bodies),
+    items AS (SELECT * FROM (SELECT extraction_id, {d.explode(d.filter(d.map(d.split('body', r'[,;|\n•·]'), 'y', d.squish(d.replace('y', BULLET, ''))), 'y', 'length(y) BETWEEN 2 AND 40'), 'raw', 'i')} FROM bodies) WHERE i IS NOT NULL),
     typed AS (SELECT DISTINCT extraction_id, raw, {d.norm(bare)} AS folded FROM items),
     spelt AS (SELECT canonical, canonical AS form FROM @skill_reference@ UNION ALL SELECT canonical, alias AS form FROM (SELECT canonical, {'explode(aliases)' if d.spark else 'unnest(aliases)'} AS alias FROM @skill_reference@)),
     known AS (SELECT {d.norm('form')} AS folded, min(canonical) AS canonical FROM spelt WHERE form <> '' GROUP BY {d.norm('form')})
@@ -137,7 +137,7 @@ def vacancy_blocks(d: Dialect) -> str:
     heading = f"CASE WHEN flat = '' OR length(flat) > 60 THEN NULL WHEN {starts(V.VACANCY_HEADINGS['optional'])} THEN 'optional' WHEN {starts(V.VACANCY_HEADINGS['required'])} THEN 'required' WHEN {starts(V.VACANCY_HEADINGS['responsibilities'])} THEN 'responsibilities' END"
     return f"""
     ad AS (SELECT job_id, max(plain_text) AS t FROM @job_descriptions@ WHERE job_id IS NOT NULL AND plain_text IS NOT NULL GROUP BY job_id),
-    rows_ AS (SELECT job_id, {d.explode(d.split(d.trim(d.replace('t', r'\r\n?', chr(10))), chr(92) + 'n'), 'txt', 'i')} FROM ad),
+    rows_ AS (SELECT * FROM (SELECT job_id, {d.explode(d.split(d.trim(d.replace('t', r'\r\n?', chr(10))), chr(92) + 'n'), 'txt', 'i')} FROM ad) WHERE i IS NOT NULL),
     flat_rows AS (SELECT *, {d.replace(d.norm(d.squish('txt')), r'[:.]+$', '')} AS flat FROM rows_),
     headed AS (SELECT *, {heading} AS heading FROM flat_rows),
     spread AS (SELECT *, max(CASE WHEN heading IS NOT NULL THEN i END) OVER (PARTITION BY job_id ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS at FROM headed),
@@ -170,7 +170,7 @@ def vacancy_skills(d: Dialect) -> str:
 def openings(d: Dialect) -> str:
     """(extraction_id, word, n, place): the first words of three and more list lines, the three commonest of each text."""
     word = f"lower({d.get(d.split(d.squish(d.replace('txt', BULLET, '')), ' '), '1')})"
-    return f"""WITH rows_ AS (SELECT extraction_id, {d.explode(d.split("coalesce(plain_text, '')", chr(92) + 'r?' + chr(92) + 'n'), 'txt', 'i')} FROM @extractions@),
+    return f"""WITH rows_ AS (SELECT * FROM (SELECT extraction_id, {d.explode(d.split("coalesce(plain_text, '')", chr(92) + 'r?' + chr(92) + 'n'), 'txt', 'i')} FROM @extractions@) WHERE i IS NOT NULL),
     counted AS (SELECT extraction_id, word, count(*) AS n FROM (SELECT extraction_id, {word} AS word FROM rows_ WHERE {d.like('txt', BULLET)}) w WHERE length(word) >= 3 GROUP BY extraction_id, word)
     SELECT * FROM (SELECT extraction_id, word, {d.integer('n')} AS n, {d.integer('row_number() OVER (PARTITION BY extraction_id ORDER BY n DESC, word)')} AS place FROM counted WHERE n >= 3) r WHERE place <= 3"""
 
@@ -183,7 +183,7 @@ def coverage(d: Dialect) -> str:
 
 def found_ranges(d: Dialect) -> str:
     """(extraction_id, range_no, raw): every range of dates in a text, in order."""
-    return f"""WITH rows_ AS (SELECT extraction_id, {d.explode(d.extract_all("lower(coalesce(plain_text, ''))", RANGE), 'raw', 'i')} FROM @extractions@) SELECT extraction_id, {d.integer('i + 1')} AS range_no, raw FROM rows_"""
+    return f"""WITH rows_ AS (SELECT * FROM (SELECT extraction_id, {d.explode(d.extract_all("lower(coalesce(plain_text, ''))", RANGE), 'raw', 'i')} FROM @extractions@) WHERE i IS NOT NULL) SELECT extraction_id, {d.integer('i + 1')} AS range_no, raw FROM rows_"""
 
 
 def accuracy(d: Dialect) -> str:

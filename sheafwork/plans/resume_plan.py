@@ -77,7 +77,7 @@ def documents(d: Dialect, source: str = "@extractions@") -> str:
 def sections(d: Dialect) -> str:
     """(extraction_id, section_no, kind, n_words, n_chars, confidence): sections of each text, the block before the first heading as contacts."""
     return f"""WITH {documents(d)},
-    rows_ AS (SELECT extraction_id, {d.explode('s', 'z', 'i')} FROM doc)
+    rows_ AS (SELECT * FROM (SELECT extraction_id, {d.explode('s', 'z', 'i')} FROM doc) WHERE i IS NOT NULL)
     SELECT extraction_id, {d.integer('i + 2')} AS section_no, z.kind AS kind, {d.integer(d.word_count('z.body'))} AS n_words, {d.integer('length(z.body)')} AS n_chars, CAST({confidence(d, 'z.kind', 'z.head')} AS DOUBLE) AS confidence FROM rows_
     UNION ALL SELECT extraction_id, 1, 'contacts', {d.integer(d.word_count('head'))}, {d.integer('length(head)')}, CAST(0.8 AS DOUBLE) FROM doc WHERE t <> ''"""
 
@@ -127,7 +127,7 @@ def contact_rows(d: Dialect) -> str:
 def link_rows(d: Dialect) -> str:
     """(extraction_id, url, kind, is_resolvable) of the distinct links, told apart without scheme, www and case."""
     kind = "CASE " + " ".join(f"WHEN {d.like('url', p)} THEN '{k}'" for k, p in V.LINK_DOMAINS) + f" WHEN {d.like('url', r'\.(?:dev|me|io|design|site|portfolio)(?:$|[^a-z0-9_])|portfolio|cv|resume')} THEN 'portfolio' ELSE 'other' END"
-    return f"""WITH found AS (SELECT extraction_id, {d.explode(_contact_columns(d)['links'], 'url', 'i')} FROM (SELECT extraction_id, lower(coalesce(plain_text, '')) AS low FROM @extractions@)),
+    return f"""WITH found AS (SELECT * FROM (SELECT extraction_id, {d.explode(_contact_columns(d)['links'], 'url', 'i')} FROM (SELECT extraction_id, lower(coalesce(plain_text, '')) AS low FROM @extractions@)) WHERE i IS NOT NULL),
     one AS (SELECT extraction_id, min_by(url, i) AS url FROM found GROUP BY extraction_id, {d.replace(d.replace('url', chr(94) + 'https?://', ''), chr(94) + r'www\.', '')})
     SELECT extraction_id, url, {kind} AS kind, {d.like('url', chr(94) + r'https?://|^www\.|\.[a-z]{2,}/')} AS is_resolvable FROM one"""
 
