@@ -92,4 +92,23 @@ def fixed_windows(events: DataFrame, key: str, time: str, tie: str, limit: int,
     return rows.mapInPandas(decide, shape.add("allowed", "boolean"))
 
 
-__all__ = ["band", "coverage", "csv_cell", "csv_line", "fixed_windows", "js_round", "latest", "merge_spans", "rank_total", "shortlist"]
+def client_key(headers: Column) -> Column:
+    """Key of a client from a map of headers in lower case: the first forwarded address, else the real one, else `unknown`; a null map is unknown."""
+    first = F.trim(F.get(F.split(F.try_element_at(headers, F.lit("x-forwarded-for")), ","), 0))
+    return F.coalesce(F.when(first != "", first), F.try_element_at(headers, F.lit("x-real-ip")), F.lit("unknown"))
+
+
+def toggle_sort(state: tuple[str, str], key: str) -> tuple[str, str]:
+    """Next (key, direction) after a click on a column: the same key turns round, a new one begins descending, names ascending."""
+    if state[0] == key:
+        return key, "asc" if state[1] == "desc" else "desc"
+    return key, "asc" if key == "name" else "desc"
+
+
+def excerpts(text: Column, spans: Column, most: int = 6, least: int = 10) -> Column:
+    """The first `most` distinct pieces of a text at spans (structs start, end, half-open), trimmed, of `least` characters and more; null spans are passed over, and null texts give null."""
+    pieces = F.transform(F.filter(spans, lambda s: s.isNotNull() & (s.getField("end") > s.getField("start"))), lambda s: F.trim(F.substring(text, s.getField("start") + 1, s.getField("end") - s.getField("start"))))
+    return F.when(text.isNotNull(), F.slice(F.array_distinct(F.filter(F.coalesce(pieces, F.array().cast("array<string>")), lambda x: F.length(x) >= least)), F.lit(1), F.lit(most)))
+
+
+__all__ = ["band", "client_key", "coverage", "csv_cell", "csv_line", "excerpts", "fixed_windows", "js_round", "latest", "merge_spans", "rank_total", "shortlist", "toggle_sort"]

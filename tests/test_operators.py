@@ -296,3 +296,27 @@ def test_a_strong_document_beats_a_weak_one(spark, tmp_path):
     assert kinds == ["contacts", "summary", "experience", "education", "skills", "languages"]
     career = q["career_metrics"](spark, str(tmp_path)).collect()[0]
     assert (career.jobs, career.total_months, career.gaps, career.inversions, career.seniority, career.progression) == (2, 47 + 53, 0, 0, "senior", "unclear")
+
+
+def test_client_keys_sorts_and_excerpts(spark):
+    rows = [(1, {"x-forwarded-for": " 10.0.0.1 , 10.0.0.2", "x-real-ip": "9.9.9.9"}), (2, {"x-forwarded-for": "", "x-real-ip": "9.9.9.9"}), (3, {}), (4, None)]
+    df = spark.createDataFrame(rows, "id int, h map<string,string>")
+    assert [r.k for r in df.orderBy("id").select(S.client_key(F.col("h")).alias("k")).collect()] == ["10.0.0.1", "9.9.9.9", "unknown", "unknown"]
+    assert S.toggle_sort(("rank", "desc"), "rank") == ("rank", "asc") and S.toggle_sort(("rank", "asc"), "name") == ("name", "asc") and S.toggle_sort(("name", "asc"), "flags") == ("flags", "desc")
+    spans = F.expr("array(struct(0 as start, 12 as end), cast(null as struct<start:int,end:int>), struct(0 as start, 12 as end), struct(3 as start, 5 as end), struct(10 as start, 99 as end))")
+    got = spark.createDataFrame([("Reduced cost by 30 percent",), (None,)], "t string").select(S.excerpts(F.col("t"), spans).alias("e")).collect()
+    assert got[0].e == ["Reduced cost", "st by 30 percent"] and got[1].e is None
+
+
+def test_shortlist_cells(spark):
+    from sheafwork.sources import sinks
+
+    shape = "batch_id int, place int, candidate_name string, file_name string, headline string, email string, city string, matched_required array<string>, missing_required array<string>, job_match_score int, overall_score int, total int, experience_months int, seniority string, critical_count int, major_count int, flags array<string>"
+    rows = [(1, 1, None, "c.pdf", None, "=a@b.example", None, ["x"], ["y", "z"], None, 50, 47, 14, "senior", 0, 2, ["employment-gap"]), (1, 2, "Ann, Lee", "d.pdf", "Cook", None, "Velm", None, None, 9, 40, 40, 0, "unknown", 1, 0, None)]
+    df = spark.createDataFrame(rows, shape)
+    with_job, without = sinks.shortlist_rows(df, True), sinks.shortlist_rows(df, False)
+    assert len(with_job.columns) == 18 and len(without.columns) == 14
+    first = with_job.where("place = 1").first()
+    assert first["Покрытие требований"] == "1/3 (33%)" and first["Кандидат"] == "c.pdf" and first["Опыт"] == "1 y 2 mo" and first["Совпадение с вакансией"] == ""
+    text = sinks.csv_text(without, "batch_id", "place", without.columns[2:], ["list"]).first().csv
+    assert text.startswith("\ufeff# list\r\nПозиция,") and '2,"Ann, Lee",Cook,,Velm,40,40,,,1,0,\r\n' in text and "'=a@b.example" in text
