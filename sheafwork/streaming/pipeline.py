@@ -30,8 +30,11 @@ def event_counts(events: DataFrame, time: str, kind: str, late: str = "1 hour",
     return stamped.groupBy(F.window(time, window), kind).agg(F.count("*").alias("n"), F.approx_count_distinct("user_id").alias("users"))
 
 
-def limited_stream(events: DataFrame, key: str, time: str, tie: str, limit: int, seconds: int) -> DataFrame:
-    """(key, event, allowed): the fixed-window limiter with a window kept per key, which is forgotten when it closed unused."""
+def limited_stream(events: DataFrame, key: str, time: str, tie: str, limit: int, seconds: int, late: str = "1 hour") -> DataFrame:
+    """(key, event, allowed): the fixed-window limiter with a window kept per key.
+
+    A window is forgotten once the watermark, `late` behind the newest event, has passed its end, so a replay decides as the first run did, however fast it goes. Events behind the watermark are dropped.
+    """
 
     def decide(group: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         if state.hasTimedOut:
@@ -46,12 +49,16 @@ def limited_stream(events: DataFrame, key: str, time: str, tie: str, limit: int,
                 opened, n = at, 0
             n += 1
             allowed.append(n <= limit)
-        state.update((opened, n))
-        state.setTimeoutDuration(seconds * 1000)
+        closes = opened // 1000 + seconds * 1000
+        if closes > state.getCurrentWatermarkMs():
+            state.update((opened, n))
+            state.setTimeoutTimestamp(closes)
+        elif state.exists:
+            state.remove()
         yield pd.DataFrame({key: [group[0]] * len(rows), tie: rows[tie].to_numpy(), "allowed": allowed})
 
-    picked = events.select(F.col(key).cast("bigint").alias(key), F.col(time).cast("timestamp").alias(time), F.col(tie).cast("bigint").alias(tie))
-    return picked.groupBy(key).applyInPandasWithState(decide, f"{key} bigint, {tie} bigint, allowed boolean", "opened bigint, n bigint", "append", GroupStateTimeout.ProcessingTimeTimeout)
+    picked = events.select(F.col(key).cast("bigint").alias(key), F.col(time).cast("timestamp").alias(time), F.col(tie).cast("bigint").alias(tie)).withWatermark(time, late)
+    return picked.groupBy(key).applyInPandasWithState(decide, f"{key} bigint, {tie} bigint, allowed boolean", "opened bigint, n bigint", "append", GroupStateTimeout.EventTimeTimeout)
 
 
 def each_batch(stream: DataFrame, write: Callable[[DataFrame, int], None], checkpoint: str):
