@@ -1,4 +1,4 @@
-"""Gradient-boosted trees on small, bounded training samples (numpy); models travel to executors by value.
+"""Gradient-boosted trees on rows in memory, equal ones with their number (numpy); models travel to executors by value.
 
 Trees are complete, of fixed depth, over features cut into at most BINS quantile bins; one tree a class and round on
 the softmax gradient. Everything is deterministic.
@@ -9,6 +9,18 @@ import numpy as np
 BINS = 48
 
 
+def weighted_edges(values: np.ndarray, n: np.ndarray) -> np.ndarray:
+    """The quantiles of fit for different values in order that occur n times each."""
+    if not len(values):
+        return np.zeros(0)
+    upto = np.cumsum(n)
+    at = np.linspace(0, 1, BINS)[1:-1] * (upto[-1] - 1)
+    low = np.floor(at)
+    a, b = (values[np.searchsorted(upto, np.minimum(x, upto[-1] - 1), side="right")] for x in (low, low + 1))
+    t = at - low
+    return np.unique(np.where(t < 0.5, a + (b - a) * t, b - (b - a) * (1 - t)))
+
+
 class Boosted:
     """Softmax boosting. Probabilities pass through a scale and offset per class fitted on a holdout (calibrate)."""
 
@@ -20,21 +32,24 @@ class Boosted:
 
     def fit(self, x: np.ndarray, y: np.ndarray, classes: int) -> "Boosted":
         x = np.asarray(x, float)
-        self.classes = classes
         self.edges = [np.unique(np.quantile(x[:, f], np.linspace(0, 1, BINS)[1:-1])) if len(x) else np.zeros(0) for f in range(x.shape[1])]
-        bins = self._bins(x)
+        return self.grow(self._bins(x), y, classes, self.edges, np.ones(len(x)))
+
+    def grow(self, bins: np.ndarray, y: np.ndarray, classes: int, edges: list[np.ndarray], n: np.ndarray) -> "Boosted":
+        """The trees for rows given by their places between the edges; each counts n times."""
+        self.edges, self.classes = edges, classes
         self.scale, self.offset = np.ones(classes), np.zeros(classes)
-        share = np.bincount(y, minlength=classes) + 1.0
+        share = np.bincount(y, n, classes) + 1.0
         self.base = np.log(share / share.sum())
         self.trees: list[list[tuple[np.ndarray, np.ndarray, np.ndarray]]] = []
-        score = np.tile(self.base, (len(x), 1))
-        target = np.eye(classes)[y] if len(x) else np.zeros((0, classes))
-        for _ in range(self.rounds if len(x) else 0):
+        score = np.tile(self.base, (len(bins), 1))
+        target = np.eye(classes)[y] if len(bins) else np.zeros((0, classes))
+        for _ in range(self.rounds if len(bins) else 0):
             p = _softmax(score)
             row = []
             # Of two classes the second's trees are the first's with other signs.
             for c in range(classes) if classes > 2 else (1,):
-                tree, value = self._tree(bins, p[:, c] - target[:, c], np.maximum(p[:, c] * (1 - p[:, c]), 1e-6))
+                tree, value = self._tree(bins, n * (p[:, c] - target[:, c]), n * np.maximum(p[:, c] * (1 - p[:, c]), 1e-6), n)
                 score[:, c] += value
                 if classes == 2:
                     score[:, 0] -= value
@@ -42,7 +57,7 @@ class Boosted:
             self.trees.append(row)
         return self
 
-    def _tree(self, bins: np.ndarray, grad: np.ndarray, hess: np.ndarray):
+    def _tree(self, bins: np.ndarray, grad: np.ndarray, hess: np.ndarray, times: np.ndarray):
         inner = (1 << self.depth) - 1
         feature, cut = np.zeros(inner, np.int64), np.full(inner, BINS + 1, np.int64)
         node = np.zeros(len(bins), np.int64)
@@ -51,7 +66,7 @@ class Boosted:
             best = np.full(width, 1e-9)
             total_g = np.bincount(node, grad, width)[:, None]
             total_h = np.bincount(node, hess, width)[:, None]
-            total_n = np.bincount(node, minlength=width)[:, None]
+            total_n = np.bincount(node, times, width)[:, None]
             for f in range(bins.shape[1]):
                 if not len(self.edges[f]):
                     continue
@@ -60,7 +75,7 @@ class Boosted:
                 shape = (width, size)
                 g = np.bincount(at, grad, width * size).reshape(shape).cumsum(1)
                 h = np.bincount(at, hess, width * size).reshape(shape).cumsum(1)
-                n = np.bincount(at, minlength=width * size).reshape(shape).cumsum(1)
+                n = np.bincount(at, times, width * size).reshape(shape).cumsum(1)
                 gain = g**2 / (h + self.l2) + (total_g - g) ** 2 / (total_h - h + self.l2) - total_g**2 / (total_h + self.l2)
                 gain[(n < self.min_rows) | (total_n - n < self.min_rows)] = 0
                 where = gain.argmax(1)
@@ -75,14 +90,15 @@ class Boosted:
         return (feature, cut, leaf), leaf[node]
 
     def scores(self, x: np.ndarray) -> np.ndarray:
-        x = np.asarray(x, float)
-        bins = self._bins(x)
-        score = np.tile(self.base, (len(x), 1))
+        return self._scores(self._bins(np.asarray(x, float)))
+
+    def _scores(self, bins: np.ndarray) -> np.ndarray:
+        score = np.tile(self.base, (len(bins), 1))
         flat, width = bins.ravel(), bins.shape[1]
-        start = np.arange(len(x)) * width
+        start = np.arange(len(bins)) * width
         for row in self.trees:
             for c, (feature, cut, leaf) in enumerate(row):
-                node = np.zeros(len(x), np.int64)
+                node = np.zeros(len(bins), np.int64)
                 for level in range(self.depth):
                     split = (1 << level) - 1 + node
                     node = node * 2 + (flat[start + feature[split]] > cut[split])
@@ -96,6 +112,10 @@ class Boosted:
     def probabilities(self, x: np.ndarray) -> np.ndarray:
         return _softmax(self.scores(x) * self.scale + self.offset)
 
+    def probabilities_of(self, bins: np.ndarray) -> np.ndarray:
+        """The same for places between the edges."""
+        return _softmax(self._scores(bins) * self.scale + self.offset)
+
     def calibrate(self, x: np.ndarray, y: np.ndarray, steps: int = 300, rate: float = 0.05, prior: float = 0.05) -> "Boosted":
         """Vector scaling on a holdout by gradient descent; prior pulls towards no change, as the holdout is small."""
         s, target = self.scores(x), np.eye(self.classes)[y]

@@ -5,7 +5,6 @@ from pyspark.sql import functions as F
 
 from ..session import cut, table
 from . import bpe, canonical, language, lookalike, mixing, names, personal, quality
-from .sampling import hash_sample
 
 
 def _p4(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
@@ -32,22 +31,22 @@ P5_FIELDS = (("plain_text", "extractions", "extraction_id", False), ("candidate_
 
 
 def _p5(spark: SparkSession, sf_dir: str) -> tuple[personal.Finder, list[tuple[str, str, bool, DataFrame]]]:
-    fields, sample = [], []
+    fields, texts, wholes = [], None, []
     for field, name, key, whole in P5_FIELDS:
         df = table(spark, sf_dir, name)
         if whole:  # re-delivered rows are equal
             df = df.dropDuplicates([key])
-        filled = df.where(F.length(field) > 0)
-        few = hash_sample(filled, table(spark, sf_dir, name).count(), key, personal.SAMPLE_ROWS)
-        if whole:
-            sample += [(r.v, True, None, None) for r in few.select(F.col(field).alias("v")).collect()]
+            wholes.append(_p5_rows(df, key, field, True).withColumns({"n": F.lit(None).cast("string"), "e": F.lit(None).cast("string")}))
         else:
-            # The candidates' own rows of the sampled texts only; the sample is the small side.
-            few = few.select(key, "candidate_id", F.col(field).alias("v"))
-            own = table(spark, sf_dir, "candidates").join(few.select("candidate_id").distinct(), "candidate_id", "left_semi").groupBy("candidate_id").agg(F.max("candidate_name").alias("n"), F.max("email").alias("e"))
-            sample += [(r.v, False, r.n, r.e) for r in few.join(own, "candidate_id", "left").orderBy(F.xxhash64(key), key).collect()]
+            own = table(spark, sf_dir, "candidates").groupBy("candidate_id").agg(F.max("candidate_name").alias("n"), F.max("email").alias("e"))
+            texts = _p5_rows(df, key, field, False, "candidate_id").join(own, "candidate_id", "left")
         fields.append((field, key, whole, df.select(key, field)))
-    return personal.train(sample), fields
+    return personal.train(personal.Rows(texts, wholes[0].unionByName(wholes[1]))), fields
+
+
+def _p5_rows(df: DataFrame, key: str, field: str, whole: bool, *more: str) -> DataFrame:
+    """Rows to learn from; the number k spreads them over those held back and those without captions, however the table is partitioned."""
+    return df.select(*more, F.col(field).alias("v"), F.lit(whole).alias("whole"), F.pmod(F.xxhash64(key), F.lit(30)).cast("int").alias("k"))
 
 
 def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -94,3 +94,46 @@ def test_labels_come_from_the_candidates_row():
     text = "Zora Quill | +44 7700 900123\n\nSummary"
     assert P.name_label(text, 0, 10, "head", frozenset(), "Quill, Z.") == 1 and P.name_label(text, 0, 10, "head", frozenset(), "Anna Maier") == 0
     assert P.name_label(text, 0, 10, "head", frozenset(), None) is None and P.name_label(text, 0, 10, "run", frozenset({"Zora"}), None) == 1
+
+
+def test_training_counts_all_rows(spark, tmp_path):
+    from sheafwork.llm import queries as Q
+
+    letters = lambda k: "".join(chr(97 + int(d)) for d in f"{k:04}")
+    people = [(k, f"Q{letters(k // 3)} Berg{letters(k)}", f"x{k}@example.org") for k in range(4500)]
+    texts = [(k, k, f"{n}\n\nExperience\n- Coached by {n}.\n- Saw to it that {letters(k)} held.") for k, n, _ in people[:1800]]
+    spark.createDataFrame(people, "candidate_id bigint, candidate_name string, email string").write.parquet(str(tmp_path / "candidates.parquet"))
+    spark.createDataFrame(texts, "extraction_id bigint, candidate_id bigint, plain_text string").write.parquet(str(tmp_path / "extractions.parquet"))
+    finder, _ = Q._p5(spark, str(tmp_path))
+    # Three surnames for each of 1,500 given names: any row left out loses one.
+    assert len(finder.known.given) == 2 * 1500
+    assert "coached by" in finder.known.captions and {"Experience", "Coached", "Saw"} <= finder.known.common
+
+
+def test_spans_of_all_rows_are_counted(spark):
+    columns = "v string, whole boolean, n string, e string, k int"
+    rows = P.Rows(spark.createDataFrame([(CV, False, "Clara Winterholt", None, k % 30) for k in range(3000)], columns), spark.createDataFrame([("Anna Maier", True, None, None, k % 30) for k in range(3000)], columns))
+    _, placed, n = P._learned_everywhere(rows, frozenset(), P.NOTHING)
+    blind, shown = (sum(1 for _ in P._spans_to_learn(CV, False, "Clara Winterholt", None, k, frozenset(), P.NOTHING)) for k in (0, 1))
+    assert n.sum() == 1000 * blind + 2000 * shown + 3000 and n[placed[:, -1] == 1].sum() == 0.3 * n.sum()
+
+
+def test_counted_rows_train_as_repeated_ones():
+    import numpy as np
+    from sheafwork.llm.boosting import Boosted, weighted_edges
+
+    x = np.array([[k % 7, (k * k) % 11 / 3] for k in range(60)], float)
+    n = np.arange(60) % 5 + 1
+    y = (x[:, 0] + x[:, 1] > 4).astype(int)
+    many = Boosted(5).fit(np.repeat(x, n, axis=0), np.repeat(y, n), 2)
+    values = [np.unique(x[:, f], return_inverse=True) for f in range(2)]
+    edges = [weighted_edges(v, np.bincount(at, n).astype(int)) for v, at in values]
+    assert all(np.allclose(a, b) for a, b in zip(edges, many.edges))
+    few = Boosted(5).grow(many._bins(x), y, 2, many.edges, n)
+    assert np.allclose(few.probabilities(x), many.probabilities(x))
+
+
+def test_an_identity_card_after_the_name():
+    text = "Jörg G. Ostbodossler, Reisepass Nr. C04X261R0, Telefon: (030) 23125-296"
+    got = [p[:3] for p in P.proposals(text) if p[0] in ("name", "id_number")]
+    assert ("name", 0, 20) in got and ("id_number", 36, 45) in got and ("name", 0, 45) not in got
