@@ -45,14 +45,13 @@ def _p5(spark: SparkSession, sf_dir: str) -> tuple[personal.Finder, list[tuple[s
 
 
 def _p5_rows(df: DataFrame, key: str, field: str, whole: bool, *more: str) -> DataFrame:
-    """Rows to learn from; the number k spreads them over those held back and those without captions, however the table is partitioned."""
-    return df.select(*more, F.col(field).alias("v"), F.lit(whole).alias("whole"), F.pmod(F.xxhash64(key), F.lit(30)).cast("int").alias("k"))
+    """Rows to learn from and to find in; the number k spreads them over those held back and those without captions, however the table is partitioned."""
+    return df.select(*more, F.col(field).alias("v"), F.lit(whole).alias("whole"), F.pmod(F.xxhash64(key), F.lit(30)).cast("int").alias("k"), F.lit(field).alias("field"), F.col(key).alias("id"))
 
 
 def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
-    finder, fields = _p5(spark, sf_dir)
-    parts = [personal.find(df, key, field, finder, whole).select(F.lit(field).alias("field"), F.col("id").alias("record_id"), "pii_type", "start_at") for field, key, whole, df in fields]
-    return parts[0].unionByName(parts[1]).unionByName(parts[2])
+    finder, _ = _p5(spark, sf_dir)
+    return personal.find_proposed(finder).select("field", F.col("id").alias("record_id"), "pii_type", "start_at")
 
 
 def p5_redacted(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -137,3 +137,42 @@ def test_an_identity_card_after_the_name():
     text = "Jörg G. Ostbodossler, Reisepass Nr. C04X261R0, Telefon: (030) 23125-296"
     got = [p[:3] for p in P.proposals(text) if p[0] in ("name", "id_number")]
     assert ("name", 0, 20) in got and ("id_number", 36, 45) in got and ("name", 0, 45) not in got
+
+
+def test_texts_are_searched_once_and_found_as_before(spark, tmp_path):
+    from sheafwork.llm import queries as Q
+
+    people = [(k, f"{g} {s}", None if k == 3 else f"{g}.{s}@example.org".lower()) for k, (g, s) in enumerate((g, s) for g in ("Clara", "Jonas", "Rosa", "Ted", "Olga") for s in ("Winterholt", "Berg", "Maier", "Amsel"))]
+    texts = [(k, k % 25, None if k == 7 else " " if k == 8 else CV.replace("Clara Winterholt", f"Сl­ara {'é' * (k % 3)}Berg" if k % 4 == 0 else people[k % 20][1]) + f"\n- Coached by {people[k * 7 % 20][1]}.") for k in range(60)]
+    spark.createDataFrame(people, "candidate_id bigint, candidate_name string, email string").write.parquet(str(tmp_path / "candidates.parquet"))
+    spark.createDataFrame(texts, "extraction_id bigint, candidate_id bigint, plain_text string").write.parquet(str(tmp_path / "extractions.parquet"))
+    finder, fields = Q._p5(spark, str(tmp_path))
+    got = sorted(map(tuple, P.find_proposed(finder).collect()))
+    assert got == sorted((field, *r) for field, key, whole, df in fields for r in P.find(df, key, field, finder, whole).collect()) and len(got) > 500
+    found = Q.p5_found(spark, str(tmp_path))
+    assert found.inputFiles() == [] and sorted(map(tuple, found.collect())) == [r[:4] for r in got]
+
+
+def test_learning_and_finding_share_one_search(monkeypatch):
+    calls = []
+    search = P._announced
+    monkeypatch.setattr(P, "_announced", lambda *a: calls.append(a) or search(*a))
+    text = CV + "\n- Coached by Rosa Amsel.\n- Trained by Ted Berg."
+    given, seen = frozenset({"Clara", "Rosa", "Ted"}), P.Known(frozenset({"Ted"}), frozenset({"coached by"}), frozenset({"Summary"}))
+    known = P.Known(given, seen.captions, seen.common)
+    for k in (0, 1):
+        calls.clear()
+        spans = [*P._judged(text, False, "Clara Winterholt", None, k, given, seen)]
+        assert len(calls) == 1
+        wanted = lambda use: sorted((kind, a, b, row) for row, kind, a, b, what, _ in spans if what & use)
+        told = lambda words, captions: sorted((kind, a, b, P.features(text, kind, a, b, g, P._contact_block(text), words)) for kind, a, b, g in P.proposals(text, False, words, captions))
+        assert wanted(P.FIND) == told(known, True) and wanted(P.LEARN) == told(seen, k == 1) and wanted(P.FIND) != wanted(P.LEARN)
+
+
+def test_a_street_that_ends_like_a_given_name():
+    assert [p for p in P.proposals("Wohnt Ahornring 5", known=P.Known(frozenset({"Ring"}))) if p[0] == "address"]
+
+
+def test_marks_and_scripts_keep_their_places():
+    assert P.plain_with_places("éa") == ("éa", [0, 2]) and P.plain_with_places("́a") == ("́a", [0, 1]) and P.plain_with_places("Ａ́b") == ("Áb", [0, 2])
+    assert P.plain_with_places("x Wіnter, Зима") == ("x Winter, Зима", None)
